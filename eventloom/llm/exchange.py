@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from . import textops as T
 from .common import documents, partitions
 
 
@@ -76,5 +77,5 @@ def cuts(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
 
 def merge(blocks: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct keys of sorted blocks, and where each block's keys are among them."""
-    every = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+    every = T.distinct(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
     return every, [np.searchsorted(every, b) for b in blocks]

@@ -227,3 +227,21 @@ def by_doc(values: np.ndarray, per: np.ndarray) -> np.ndarray:
     c = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     e = np.cumsum(per)
     return c[e] - c[e - per]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is far faster here than hashing."""
+    if not len(x):
+        return x
+    s = np.sort(x)
+    keep = np.ones(len(s), bool)
+    keep[1:] = s[1:] != s[:-1]
+    return s[keep]
+
+
+def locate(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """searchsorted for many unsorted values: asked in sorted order, so that memory is read in order."""
+    order = np.argsort(asked)
+    out = np.empty(len(asked), np.int64)
+    out[order] = np.searchsorted(keys, asked[order])
+    return out
