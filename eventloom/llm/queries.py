@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, lm_scoring, packing, quality_rules, simhash, suffix_dedup, token_counts
+from . import decontamination, langid, line_dedup, lm_scoring, packing, quality_knn, quality_rules, simhash, suffix_dedup, token_counts
 from .common import table
 
 
@@ -42,10 +42,22 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_words", "words_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_lm_scoring, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_language_id, op10_line_dedup)}
 ORACLES: dict[str, str] = {}

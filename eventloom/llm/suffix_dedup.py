@@ -24,7 +24,7 @@ BITS = 54
 GRAM = 24
 LAST_ID = np.int64(2**63 - 1)
 #: Bytes of segments sorted in one array; bounds a worker's memory.
-ARRAY_BYTES = 3 << 20
+ARRAY_BYTES = 1 << 20
 _rng = np.random.default_rng(20)
 BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -158,7 +158,7 @@ def least_ids(text: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int)
     return own[win]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, bucket_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, starts, ends), a row for each row of `docs`.
 
     kept are the remaining bytes; starts and ends the removed runs, as byte positions. Matches never
