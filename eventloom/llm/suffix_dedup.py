@@ -197,7 +197,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20)
             cols = [[b for b, _, _ in blocks], [1] * len(blocks), [shard] * len(blocks), [len(i) for i in at], [np.packbits(seen[i] > 1).tobytes() for i in at]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ANSWER)], schema=ANSWER)
 
-    first = base.groupBy("bucket").applyInArrow(ask, "bucket int, shard int, keys binary, several binary").repartition(shards, "shard").mapInArrow(shared, ANSWER_DDL)
+    first = base.groupBy("bucket").applyInArrow(ask, "bucket int, shard int, keys binary, several binary").repartitionById(shards, "shard").mapInArrow(shared, ANSWER_DDL)
 
     def flagged_runs(table: pa.Table, told: pa.Table):
         buf, offs, ids, got = _read(table, length)
@@ -228,7 +228,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20)
             yield _sorted_shard(shard, got.pop(shard), length)
 
     segments = base.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(send, "bucket int, shard int, keys binary, sizes binary, ids binary, text binary")
-    second = segments.repartition(shards, "shard").mapInArrow(sort_shards, ANSWER_DDL)
+    second = segments.repartitionById(shards, "shard").mapInArrow(sort_shards, ANSWER_DDL)
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
