@@ -91,7 +91,9 @@ def _runs(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, n
     last[:-1] &= first[1:] | ~ok[1:]
     a = np.flatnonzero(first)
     count = np.flatnonzero(last) - a + 1
-    return m[a], a, count, np.searchsorted(offs, a, "right") - 1
+    with np.errstate(over="ignore"):  # smallest hashes crowd at the low end: spread them, so that shards are even
+        v = (m[a] * T.P1) & np.uint64((1 << BITS) - 1)
+    return v, a, count, np.searchsorted(offs, a, "right") - 1
 
 
 def _read(table: pa.Table, length: int):
