@@ -52,9 +52,9 @@ class Items:
         self.seqs = np.split(seq, np.cumsum(words.per_doc)[:-1]) if len(rows) else []
 
     def weigh(self, df: np.ndarray, n: int) -> None:
-        """IDF weights; terms of over half a percent of all passages tell nothing, unless an item has no others."""
+        """IDF weights; terms of more than 20 passages and half a percent of all tell nothing, unless an item has no others."""
         idf = np.log((n + 2) / (df + 1))
-        telling = df <= n / 200
+        telling = df <= n / 200 + 20
         for s in self.seqs:
             if len(s) and not telling[s].any():
                 telling[s] = True

@@ -140,13 +140,9 @@ def _flips(keyed: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
     half, other = -(-max_bits // 2), max_bits // 2
     open_bits = {k: _bits(~m & ((1 << 64) - 1)) for k, m in enumerate(masks)}
 
-    def near(bits: list[int], most: int) -> Column:
-        flips = [sum(1 << b for b in c) for r in range(most + 1) for c in combinations(bits, r)]
-        return F.array(*[F.lit(_signed(f)) for f in flips])
-
     def spread(most: int, name: str) -> DataFrame:
         table = keyed.sparkSession.createDataFrame([(k, _signed(sum(1 << b for b in c))) for k, bits in open_bits.items() for r in range(most + 1) for c in combinations(bits, r)], "k int, flip long")
-        return keyed.join(F.broadcast(table), "k").select(F.col("fp").bitwiseXOR("flip").alias("z"), F.col("fp").alias(name)).distinct()
+        return keyed.join(F.broadcast(table), "k").select(F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), F.col("fp").alias(name)).distinct()
 
     return spread(half, "a").join(spread(other, "b"), "z").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
