@@ -7,8 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-CASE = Window.partitionBy("case_id").orderBy("us", "event_idx")
-WHOLE_CASE = Window.partitionBy("case_id")
+
+def case_order():
+    """A case's events in order."""
+    return Window.partitionBy("case_id").orderBy("us", "event_idx")
+
+
+def whole_case():
+    return Window.partitionBy("case_id")
 
 
 def normalize(df: DataFrame, case: str, activity: str, ts: str, idx: str, **others: str | Column) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..log import CASE
+from ..log import case_order
 
 
 def pairs(log: DataFrame, step: int = 1) -> DataFrame:
     """Each event and the one `step` later in its case: source, target, gap_s."""
-    nxt = log.select("case_id", "cost", F.col("activity").alias("source"), F.lead("activity", step).over(CASE).alias("target"), ((F.lead("us", step).over(CASE) - F.col("us")) / 1e6).alias("gap_s"))
+    nxt = log.select("case_id", "cost", F.col("activity").alias("source"), F.lead("activity", step).over(case_order()).alias("target"), ((F.lead("us", step).over(case_order()) - F.col("us")) / 1e6).alias("gap_s"))
     return nxt.where("target is not null")
 
 
@@ -31,7 +31,7 @@ def cost(log: DataFrame) -> DataFrame:
 
 
 def triples(log: DataFrame) -> DataFrame:
-    t = log.select(F.col("activity").alias("a"), F.lead("activity", 1).over(CASE).alias("b"), F.lead("activity", 2).over(CASE).alias("c"))
+    t = log.select(F.col("activity").alias("a"), F.lead("activity", 1).over(case_order()).alias("b"), F.lead("activity", 2).over(case_order()).alias("c"))
     return t.where("c is not null").groupBy("a", "b", "c").agg(F.count("*").alias("n"))
 
 
@@ -69,7 +69,7 @@ def footprints(log: DataFrame) -> DataFrame:
 
 
 def min_self_distance(log: DataFrame) -> DataFrame:
-    at = log.select("case_id", "activity", "us", "event_idx", F.row_number().over(CASE).alias("p"))
+    at = log.select("case_id", "activity", "us", "event_idx", F.row_number().over(case_order()).alias("p"))
     w = Window.partitionBy("case_id", "activity").orderBy("p")
     return at.withColumn("d", F.lead("p").over(w) - F.col("p") - 1).where("d is not null").groupBy("activity").agg(F.min("d").cast("long").alias("distance"))
 

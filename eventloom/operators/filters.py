@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..log import CASE, WHOLE_CASE, traces
+from ..log import case_order, traces, whole_case
 from .stats import cases
 
 
@@ -17,7 +17,7 @@ def summary(log: DataFrame) -> DataFrame:
 
 
 def start(log: DataFrame, activities: list[str], keep: bool = True) -> DataFrame:
-    first = F.first("activity").over(CASE)
+    first = F.first("activity").over(case_order())
     return log.withColumn("_f", first).where(F.col("_f").isin(activities) if keep else ~F.col("_f").isin(activities)).drop("_f")
 
 
@@ -40,16 +40,16 @@ def numeric_events(log: DataFrame, column: str, low: float, high: float) -> Data
 
 
 def case_size(log: DataFrame, low: int, high: int) -> DataFrame:
-    return log.withColumn("_n", F.count("*").over(WHOLE_CASE)).where(F.col("_n").between(low, high)).drop("_n")
+    return log.withColumn("_n", F.count("*").over(whole_case())).where(F.col("_n").between(low, high)).drop("_n")
 
 
 def case_performance(log: DataFrame, low_s: float, high_s: float) -> DataFrame:
-    d = (F.max("us").over(WHOLE_CASE) - F.min("us").over(WHOLE_CASE)) / 1e6
+    d = (F.max("us").over(whole_case()) - F.min("us").over(whole_case())) / 1e6
     return log.withColumn("_d", d).where(F.col("_d").between(low_s, high_s)).drop("_d")
 
 
 def follows(log: DataFrame, a: str, b: str, keep: bool = True) -> DataFrame:
-    found = log.select("case_id", "activity", F.lead("activity").over(CASE).alias("n")).where((F.col("activity") == a) & (F.col("n") == b))
+    found = log.select("case_id", "activity", F.lead("activity").over(case_order()).alias("n")).where((F.col("activity") == a) & (F.col("n") == b))
     return keep_cases(log, found, keep)
 
 
@@ -59,7 +59,7 @@ def eventually(log: DataFrame, a: str, b: str, keep: bool = True) -> DataFrame:
 
 
 def path_performance(log: DataFrame, a: str, b: str, low_s: float, high_s: float) -> DataFrame:
-    n = log.select("case_id", "activity", F.lead("activity").over(CASE).alias("n"), ((F.lead("us").over(CASE) - F.col("us")) / 1e6).alias("g"))
+    n = log.select("case_id", "activity", F.lead("activity").over(case_order()).alias("n"), ((F.lead("us").over(case_order()) - F.col("us")) / 1e6).alias("g"))
     return keep_cases(log, n.where((F.col("activity") == a) & (F.col("n") == b) & F.col("g").between(low_s, high_s)))
 
 
@@ -83,12 +83,12 @@ def rework(log: DataFrame, activity: str, least: int = 2) -> DataFrame:
 
 def prefix(log: DataFrame, activity: str) -> DataFrame:
     """Events of a case before its first `activity`."""
-    first = F.min(F.when(F.col("activity") == activity, F.struct("us", "event_idx"))).over(WHOLE_CASE)
+    first = F.min(F.when(F.col("activity") == activity, F.struct("us", "event_idx"))).over(whole_case())
     return log.withColumn("_f", first).where(F.struct("us", "event_idx") < F.col("_f")).drop("_f")
 
 
 def suffix(log: DataFrame, activity: str) -> DataFrame:
-    last = F.max(F.when(F.col("activity") == activity, F.struct("us", "event_idx"))).over(WHOLE_CASE)
+    last = F.max(F.when(F.col("activity") == activity, F.struct("us", "event_idx"))).over(whole_case())
     return log.withColumn("_l", last).where(F.struct("us", "event_idx") > F.col("_l")).drop("_l")
 
 
@@ -126,11 +126,11 @@ def between(log: DataFrame, a: str, b: str) -> DataFrame:
 
 def collapse(log: DataFrame) -> DataFrame:
     """Runs of one activity in a case are one event, the first."""
-    before: Column = F.lag("activity").over(CASE)
+    before: Column = F.lag("activity").over(case_order())
     return log.withColumn("_b", before).where("_b is null or _b <> activity").drop("_b")
 
 
 def relative_occurrence(log: DataFrame, column: str, values: list, share: float) -> DataFrame:
     """Cases at least `share` of whose events have one of the values."""
-    hit = F.avg(F.when(F.col(column).isin(values), 1.0).otherwise(0.0)).over(WHOLE_CASE)
+    hit = F.avg(F.when(F.col(column).isin(values), 1.0).otherwise(0.0)).over(whole_case())
     return log.withColumn("_s", hit).where(F.col("_s") >= share).drop("_s")

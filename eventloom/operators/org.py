@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..log import CASE
+from ..log import case_order
 
 
 def handover(log: DataFrame) -> DataFrame:
     """Share of all handovers (successive events) by pair of resources."""
-    p = log.select(F.col("resource").alias("source"), F.lead("resource").over(CASE).alias("target")).where("source is not null and target is not null")
+    p = log.select(F.col("resource").alias("source"), F.lead("resource").over(case_order()).alias("target")).where("source is not null and target is not null")
     n = p.groupBy("source", "target").agg(F.count("*").alias("n"))
     return n.select("source", "target", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 8).alias("weight"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..log import CASE, WHOLE_CASE
+from ..log import case_order, whole_case
 
 
 def _per_case(log: DataFrame) -> DataFrame:
@@ -35,20 +35,20 @@ def declare(log: DataFrame) -> DataFrame:
 
 def temporal_profile(log: DataFrame) -> DataFrame:
     """Mean and deviation of the time from an activity to each next one in its case."""
-    p = log.select(F.col("activity").alias("a"), F.lead("activity").over(CASE).alias("b"), ((F.lead("us").over(CASE) - F.col("us")) / 1e6).alias("g")).where("b is not null")
+    p = log.select(F.col("activity").alias("a"), F.lead("activity").over(case_order()).alias("b"), ((F.lead("us").over(case_order()) - F.col("us")) / 1e6).alias("g")).where("b is not null")
     return p.groupBy("a", "b").agg(F.round(F.avg("g"), 4).alias("mean_s"), F.round(F.coalesce(F.stddev_samp("g"), F.lit(0.0)), 4).alias("std_s"))
 
 
 def temporal_deviations(log: DataFrame, zeta: float = 2.0) -> DataFrame:
     """Steps further from the profile's mean than zeta deviations."""
-    p = log.select("case_id", "event_idx", F.col("activity").alias("a"), F.lead("activity").over(CASE).alias("b"), ((F.lead("us").over(CASE) - F.col("us")) / 1e6).alias("g")).where("b is not null")
+    p = log.select("case_id", "event_idx", F.col("activity").alias("a"), F.lead("activity").over(case_order()).alias("b"), ((F.lead("us").over(case_order()) - F.col("us")) / 1e6).alias("g")).where("b is not null")
     prof = p.groupBy("a", "b").agg(F.avg("g").alias("m"), F.stddev_samp("g").alias("s"))
     return p.join(F.broadcast(prof), ["a", "b"]).where(F.abs(F.col("g") - F.col("m")) > zeta * F.col("s")).groupBy("a", "b").agg(F.count("*").alias("deviations"))
 
 
 def targets(log: DataFrame) -> DataFrame:
     """Next activity, seconds to it, and remaining seconds for each event."""
-    return log.select("case_id", "event_idx", "activity", F.lead("activity").over(CASE).alias("next_activity"), F.round((F.lead("us").over(CASE) - F.col("us")) / 1e6, 6).alias("next_s"), F.round((F.max("us").over(WHOLE_CASE) - F.col("us")) / 1e6, 6).alias("remaining_s"))
+    return log.select("case_id", "event_idx", "activity", F.lead("activity").over(case_order()).alias("next_activity"), F.round((F.lead("us").over(case_order()) - F.col("us")) / 1e6, 6).alias("next_s"), F.round((F.max("us").over(whole_case()) - F.col("us")) / 1e6, 6).alias("remaining_s"))
 
 
 def prefix_states(log: DataFrame, k: int = 2) -> DataFrame:

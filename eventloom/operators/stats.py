@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..log import CASE, traces, variants
+from ..log import case_order, traces, variants
 
 
 def cases(log: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def stochastic_language(log: DataFrame) -> DataFrame:
 
 
 def activity_positions(log: DataFrame) -> DataFrame:
-    return log.select("activity", (F.row_number().over(CASE) - 1).cast("long").alias("position")).groupBy("activity", "position").agg(F.count("*").alias("n"))
+    return log.select("activity", (F.row_number().over(case_order()) - 1).cast("long").alias("position")).groupBy("activity", "position").agg(F.count("*").alias("n"))
 
 
 def case_overlap(log: DataFrame) -> DataFrame:
