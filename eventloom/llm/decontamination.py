@@ -141,7 +141,7 @@ class Passages:
             out[self.term[o][head[i : i + 4096] - head[i]]] += np.add.reduceat(y[row[o]] * self.value[o, None], head[i : i + 4096] - head[i])
 
 
-def _pieces(batches, rows: int = 400):
+def _pieces(batches, rows: int = 100):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
