@@ -103,6 +103,7 @@ class Passages:
         last = np.maximum(-(-(n_words - span) // step), 0)  # number of a document's last passage
         self.total = int((last + 1).sum())
         use = np.arange(len(doc)) if weight is None else np.flatnonzero(weight[self.terms] > 0)
+        self.telling, self.telling_at = self.terms[use], (doc[use] << 34) | self.places[use]
         p = np.minimum(self.places[use] // step, last[doc[use]])
         before = np.flatnonzero((p > 0) & (self.places[use] < (p - 1) * step + span))
         rows_doc = np.concatenate([doc[use], doc[use][before]])
@@ -224,6 +225,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, span: int = 64, rank: int = 256
     return out.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("lcs", "cosine", F.negative("first_word"))).alias(c) for c in HIT.names[2:]))
 
 
+def _enough_weight(p: Passages, passage: np.ndarray, item: np.ndarray, step: int, span: int, sizes: np.ndarray, held_terms: np.ndarray, weight: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which candidates have the least weight of their item's distinct terms around the passage; others can't be leaks."""
+    base, a = p.doc[passage] << 34, p.number[passage] * step
+    lo = np.searchsorted(p.telling_at, base + np.maximum(a - sizes[item], 0))
+    per = np.searchsorted(p.telling_at, base + a + span + sizes[item]) - lo
+    asked = np.repeat(item, per) * len(weight) + p.telling[T.gather(lo, per)]
+    pair = np.repeat(np.arange(len(item)), per)
+    at = np.minimum(np.searchsorted(held_terms, asked), len(held_terms) - 1)
+    ok = held_terms[at] == asked
+    both = T.distinct(pair[ok] * len(held_terms) + at[ok])
+    got = np.bincount(both // len(held_terms), weight[held_terms[both % len(held_terms)] % len(weight)], len(item))
+    return got >= least[item] * (1 - 1e-5)
+
+
 def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float, match: float, telling: float) -> DataFrame:
     spark = base.sparkSession
     if not len(items.terms):
@@ -245,6 +260,8 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
     def run(batches):
         weight, m, vectors, ids, seq = held.value
         total = np.array([weight[np.unique(s)].sum() for s in seq])
+        sizes = np.array([len(s) for s in seq], np.int64)
+        held_terms = np.concatenate([j * len(weight) + np.unique(s) for j, s in enumerate(seq)])
         for b in _pieces(batches):
             p = Passages(b, weight, span)
             found: dict[tuple[int, int], tuple] = {}
@@ -254,6 +271,8 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
             for i in range(0, len(v), 1024):
                 cos = v[i : i + 1024] @ vectors.T
                 row, item = np.nonzero(cos >= cosine)
+                ok = _enough_weight(p, i + row, item, step, span, sizes, held_terms, weight, telling * total)
+                row, item = row[ok], item[ok]
                 for r, j in zip(row.tolist(), item.tolist()):
                     d, c = int(p.doc[i + r]), float(cos[r, j])
                     s = seq[j]
