@@ -26,6 +26,8 @@ from .graph import components
 
 FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LANES = np.uint64(0x0101010101010101)
+#: Text bytes handled at once: some 30 bytes of working memory each.
+SLICE_BYTES = 1 << 20
 
 
 def majority(h: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -50,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of lower-cased word shingles. Null and empty texts have 0."""
 
     def run(batches):
-        for b in T.slices(batches):
+        for b in T.slices(batches, limit=SLICE_BYTES):
             words = T.Words(*T.utf8(b.column(1)), lower=True)
             h, _, per = words.shingles(width, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(majority(h, per).view(np.int64))], schema=FP)
