@@ -64,3 +64,18 @@ def features(log: DataFrame) -> DataFrame:
     """Case features: a count for each activity (the alphabet is the pivot's fixed list), events, duration, mean cost."""
     acts = [r[0] for r in log.select("activity").distinct().orderBy("activity").collect()]
     return log.groupBy("case_id").agg(*(F.count_if(F.col("activity") == a).alias(f"n_{a}") for a in acts), F.count("*").alias("n_events"), F.round((F.max("us") - F.min("us")) / 1e6, 4).alias("duration_s"), F.round(F.avg("cost"), 4).alias("mean_cost"))
+
+
+def declare_unary(log: DataFrame) -> DataFrame:
+    """Cases in which an activity occurs, is missing, occurs once, and comes first."""
+    p = _per_case(log)
+    start = log.groupBy("case_id").agg(F.min(F.struct("us", "event_idx")).alias("start"))
+    total = log.agg(F.count_distinct("case_id").alias("total"))
+    per = p.join(start, "case_id").groupBy("activity").agg(F.count("*").alias("existence"), F.count_if(F.col("n") == 1).alias("exactly_one"), F.count_if(F.col("first") == F.col("start")).alias("init"))
+    return per.join(F.broadcast(total)).select("activity", "existence", (F.col("total") - F.col("existence")).alias("absence"), "exactly_one", "init")
+
+
+def declare_alternate(log: DataFrame) -> DataFrame:
+    """Support of alternate response, precedence and succession: the plain template, and equal counts."""
+    t = lambda c: F.count_if(F.expr(c)).alias
+    return _pairs(log).groupBy("a", "b").agg(t("na = nb and la < lb")("alternate_response"), t("na = nb and fa < fb")("alternate_precedence"), t("na = nb and la < lb and fa < fb")("alternate_succession"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..log import case_order, traces, variants
 
+#: Times are cut into ranges of this length, so that no task orders a whole log.
+RANGE_US = 3_600_000_000
+
 
 def cases(log: DataFrame) -> DataFrame:
     return log.groupBy("case_id").agg(F.count("*").alias("n_events"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
@@ -32,10 +35,12 @@ def distribution(log: DataFrame, unit: str) -> DataFrame:
 
 
 def gaps(log: DataFrame, end: bool = False) -> DataFrame:
-    """Seconds from the previous case's start (or end) to each case's; 0 for the first. One row a case, ordered globally by time: ranges of time are summed apart."""
-    c = cases(log).select("case_id", F.col("end_us" if end else "start_us").alias("at"))
-    w = Window.orderBy("at", "case_id")
-    return c.select("case_id", F.round(F.coalesce((F.col("at") - F.lag("at").over(w)) / 1e6, F.lit(0.0)), 4).alias("gap_s"))
+    """Seconds from the previous case's start (or end) to each case's; 0 for the first. The first of a range of time follows the last of the range before."""
+    at = F.col("end_us" if end else "start_us")
+    c = cases(log).select("case_id", at.alias("at"), F.floor(at / RANGE_US).alias("r"))
+    earlier = c.groupBy("r").agg(F.max("at").alias("top")).select("r", F.lag("top").over(Window.orderBy("r")).alias("before"))
+    own = F.lag("at").over(Window.partitionBy("r").orderBy("at", "case_id"))
+    return c.withColumn("own", own).join(earlier, "r").select("case_id", F.round(F.coalesce((F.col("at") - F.coalesce("own", "before")) / 1e6, F.lit(0.0)), 4).alias("gap_s"))
 
 
 def arrival_average(log: DataFrame, end: bool = False) -> DataFrame:
@@ -74,11 +79,16 @@ def activity_positions(log: DataFrame) -> DataFrame:
 
 
 def case_overlap(log: DataFrame) -> DataFrame:
-    """For each case, the cases whose closed time span meets its own, itself included: all minus those that end before it starts or start after it ends, from ranks of the ends and starts."""
-    c = cases(log).select("case_id", "start_us", "end_us")
-    n = c.count()
-    points = c.select(F.col("start_us").alias("at"), F.lit(1).alias("kind"), "case_id").unionByName(c.select(F.col("end_us").alias("at"), F.lit(0).alias("kind"), "case_id"))
-    w = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    ranked = points.select("case_id", "kind", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w).alias("ended"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(after).alias("to_start"))
-    return ranked.groupBy("case_id").agg((F.lit(n) - F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("ended"))), F.lit(0)) - F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("to_start"))), F.lit(0))).cast("long").alias("overlap"))
+    """For each case, the cases whose closed time span meets its own, itself included: those that start by its end, less those that end before its start. Both are counted from the totals of earlier ranges of time and the ranks in the own range."""
+    c = cases(log)
+    point = lambda at, is_start: c.select("case_id", F.col(at).alias("at"), F.lit(is_start).alias("is_start"))
+    p = point("start_us", 1).unionByName(point("end_us", 0)).withColumn("r", F.floor(F.col("at") / RANGE_US))
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    total = p.groupBy("r").agg(F.sum("is_start").alias("starts"), F.sum(1 - F.col("is_start")).alias("ends"))
+    earlier = total.select("r", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in ("starts", "ends")))
+    w = Window.partitionBy("r").orderBy("at")
+    upto = F.sum("is_start").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    ended = F.coalesce(F.sum(1 - F.col("is_start")).over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = p.withColumns({"upto": upto, "ended": ended}).join(earlier, "r")
+    part = F.when(F.col("is_start") == 1, -(F.col("ended") + F.col("ends"))).otherwise(F.col("upto") + F.col("starts"))
+    return ranked.groupBy("case_id").agg(F.sum(part).cast("long").alias("overlap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..log import click_log, variants
-from ..operators import compare, dfg, filters, ocel, org, relations, stats
+from ..operators import compare, dfg, filters, ocel, org, relations, sequences, stats, timing
 
 JAN = 1_704_067_200_000_000
 LOW, HIGH = JAN + 5 * 86_400_000_000, JAN + 20 * 86_400_000_000
@@ -118,6 +118,26 @@ add("ocel_object_summary", on_objects(ocel.object_summary), REL + "select otype,
 add("ocel_type_activities", on_objects(ocel.type_activities), REL + "select otype, activity, count(distinct eid) as events, count(distinct oid) objects from rel group by 1, 2")
 add("ocel_objects_per_event", on_objects(ocel.objects_per_event), REL + "select activity, otype, min(n) fewest, max(n) most from (select eid, activity, otype, count(*) n from rel group by 1, 2, 3) group by 1, 2")
 
+DAY = 86_400_000_000
+IVL = LOG + ", ivl as (select *, us a, us + cast(round(cost) as bigint) * 1000000 z from log) "
+SLOTS = f"sum(case when (d + 3) % 7 < 5 then greatest(0, least({{1}}, d * {DAY} + 17 * 3600000000) - greatest({{0}}, d * {DAY} + 7 * 3600000000)) else 0 end) / 1e6"
+DAYS = f"unnest(generate_series({{0}} // {DAY}, {{1}} // {DAY})) d"
+on_intervals = lambda f: on_log(lambda l: f(timing.intervals(l, F.col("cost"))))
+add("case_durations_business", on_log(timing.business_durations), LOG + f"select case_id, round({SLOTS.format('s', 'e')}, 4) business_s from (select *, {DAYS.format('s', 'e')} from cases) group by 1")
+add("dfg_performance_business", on_log(timing.business_performance), LOG + f", p as (select activity source, nxt target, case_id, pos, us t, lead(us) over (partition by case_id order by us, event_idx) u from seq), g as (select source, target, case_id, pos, {SLOTS.format('t', 'u')} b from (select *, {DAYS.format('t', 'u')} from p where target is not null) group by 1, 2, 3, 4) select source, target, round(avg(b), 4) mean_s, round(sum(b), 4) sum_s from g group by 1, 2")
+add("service_time", on_intervals(timing.service_time), IVL + "select activity, round(avg((z - a) / 1e6), 4) mean_s, round(quantile_cont((z - a) / 1e6, 0.5), 4) median_s, round(min((z - a) / 1e6), 4) min_s, round(max((z - a) / 1e6), 4) max_s, round(sum((z - a) / 1e6), 4) sum_s from ivl group by 1")
+add("service_waiting", on_intervals(timing.service_waiting), IVL + "select case_id, round(sum(z - a) / 1e6, 4) service_s, round((max(z) - min(a)) / 1e6, 4) sojourn_s, round((max(z) - min(a) - sum(z - a)) / 1e6, 4) waiting_s from ivl group by 1")
+add("cycle_time", on_intervals(timing.cycle_time), IVL + ", m as (select a, z, max(z) over (order by a, z rows between unbounded preceding and 1 preceding) p from ivl), b as (select a, z, sum(case when p is null or a > p then 1 else 0 end) over (order by a, z rows unbounded preceding) k from m), k as (select k, min(a) a, max(z) z from b group by 1) select round(coalesce(sum(z - a), 0) / 1e6 / (select count(distinct case_id) from log), 4) cycle_s from k where k < (select max(k) from k)")
+add("compare_activity_durations", on_log(timing.compare_activity_durations), LOG + "select case when case_id % 2 = 0 then 'original' else 'simulated' end log, activity, round(avg(gap / 3600), 4) mean_h, round(quantile_cont(gap / 3600, 0.5), 4) median_h, round(quantile_cont(gap / 3600, 0.9), 4) p90_h from seq where nxt is not null group by 1, 2")
+add("prefixes_first_5", sized(lambda l: sequences.first_events(l, 5)), LOG + "select case_id, count(*) n_events from seq where pos <= 5 group by 1")
+add("activity_first_position", on_log(sequences.positions), LOG + "select case_id, activity, min(pos) - 1 as position from seq group by 1, 2")
+add("training_samples", on_log(lambda l: sequences.samples(l, 3)), LOG + "select case_id, event_idx, concat_ws(',', coalesce(lag(activity, 3) over w, '<pad>'), coalesce(lag(activity, 2) over w, '<pad>'), prv) prefix, activity next_activity from seq window w as (partition by case_id order by pos) qualify prv is not null")
+add("performance_spectrum", on_log(lambda l: sequences.spectrum(l, ["view", "click", "purchase"])), LOG + ", f as (select case_id, activity x, lead(activity) over w y, lead(activity, 2) over w z, us t0, lead(us) over w t1, lead(us, 2) over w t2 from log where activity in ('view', 'click', 'purchase') window w as (partition by case_id order by us, event_idx)) select case_id, t0, t1, t2 from f where x = 'view' and y = 'click' and z = 'purchase'")
+add("filter_trace_segments", sized(lambda l: sequences.trace_segments(l, [["...", "view", "click", "purchase", "..."]])), in_cases("seq where activity = 'view' and nxt = 'click' and nxt2 = 'purchase'"))
+add("filter_trace_segments_negative", sized(lambda l: sequences.trace_segments(l, [["view", "..."], ["...", "purchase"]], False)), SIZES.format("case_id not in (select case_id from seq where (prv is null and activity = 'view') or (nxt is null and activity = 'purchase'))"))
+add("declare_unary", on_log(relations.declare_unary), LOG + ", c as (select case_id, activity, count(*) n, bool_or(prv is null) f from seq group by 1, 2) select activity, count(*) existence, (select count(*) from cases) - count(*) absence, count(*) filter (n = 1) exactly_one, count(*) filter (f) init from c group by 1")
+add("declare_alternate", on_log(relations.declare_alternate), PER + "select a, b, count(*) filter (na = nb and la < lb) alternate_response, count(*) filter (na = nb and fa < fb) alternate_precedence, count(*) filter (na = nb and la < lb and fa < fb) alternate_succession from pr group by 1, 2")
+
 
 def queries() -> dict:
     return {k: run for k, (run, _) in WITH.items()}
