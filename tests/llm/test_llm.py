@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontamination, langid, line_dedup, lm_scoring, packing, quality_knn, quality_rules, queries, simhash, suffix_array, suffix_dedup, textops, token_counts
+from eventloom.llm import decontamination, langid, line_dedup, lm_scoring, packing, quality_knn, quality_rules, queries, shingles, simhash, suffix_array, suffix_dedup, textops, token_counts
 from eventloom.llm.common import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,6 +104,52 @@ def test_simhash_links_lose_nothing(spark, long_list):
         assert seen == set(s)
 
 
+@pytest.mark.parametrize("long_list", [2, 8, 64])
+def test_near_dedup_equals_brute_force_jaccard(spark, docs, rows, long_list):
+    """Families of edited copies: each pair of similarity 0.8 or more is joined, and nothing else."""
+    r = random.Random(11)
+    made = list(rows)
+    for f in range(12):
+        text = [f"w{r.randrange(3000)}" for _ in range(r.choice([6, 40, 150, 600]))]
+        for _ in range(12):
+            copy = list(text)
+            for _ in range(r.randrange(1 + len(text) // 25)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+            made.append((1000 + len(made), " ".join(copy)))
+    sets = []
+    for _, t in made:
+        w = words(lower(t))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(made)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i, j in itertools.combinations(range(len(made)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            root[find(i)] = find(j)
+            far += (fingerprint(made[i][1], 5) ^ fingerprint(made[j][1], 5)).bit_count() > 3
+    assert far > 20  # beyond the radius of op1
+    least = {}
+    for i, (d, _) in enumerate(made):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted((str(x.doc_id), str(x.component_id)) for x in shingles.groups(df, long_list=long_list).collect())
+    assert got == sorted((str(d), str(least.get(find(i)))) for i, (d, _) in enumerate(made))
+    if long_list == 64:
+        import corpus_pipeline
+
+        gone = {d for i, (d, _) in enumerate(made) if d is not None and d != least[find(i)]}
+        stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+        assert {x.doc_id for x in stage(spark, df, SF).collect()} == {d for d, _ in made} - gone
+        assert shingles.groups(df.limit(0)).count() == 0
+
+
 def test_suffix_array_sorts():
     r = random.Random(1)
     for _ in range(150):
