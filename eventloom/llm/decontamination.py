@@ -52,13 +52,21 @@ class Items:
         self.seqs = np.split(seq, np.cumsum(words.per_doc)[:-1]) if len(rows) else []
 
     def weigh(self, df: np.ndarray, n: int) -> None:
-        """IDF weights; terms of more than 20 passages and half a percent of all tell nothing, unless an item has no others."""
+        """IDF weights; terms of more than 20 passages and half a percent of all tell nothing, unless an item has no others.
+
+        `weight` is for the vectors of all passages and items; `own` has each item's weights of its distinct
+        terms, which no other item's lack of telling terms changes.
+        """
         idf = np.log((n + 2) / (df + 1))
         telling = df <= n / 200 + 20
-        for s in self.seqs:
-            if len(s) and not telling[s].any():
-                telling[s] = True
-        self.weight = np.where(telling, np.maximum(idf, 0.1), 0).astype(np.float32)
+        full = np.maximum(idf, 0.1).astype(np.float32)
+        bare = [bool(len(s)) and not telling[s].any() for s in self.seqs]
+        used = telling.copy()
+        for s, all_terms in zip(self.seqs, bare):
+            if all_terms:
+                used[s] = True
+        self.weight = np.where(used, full, np.float32(0))
+        self.own = [full[t] if all_terms else np.where(telling[t], full[t], np.float32(0)) for t, all_terms in zip(map(np.unique, self.seqs), bare)]
         b = np.zeros((len(self.seqs), len(self.terms)), np.float32)
         for i, s in enumerate(self.seqs):
             t, c = np.unique(s, return_counts=True)
@@ -225,17 +233,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, span: int = 64, rank: int = 256
     return out.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("lcs", "cosine", F.negative("first_word"))).alias(c) for c in HIT.names[2:]))
 
 
-def _enough_weight(p: Passages, passage: np.ndarray, item: np.ndarray, step: int, span: int, sizes: np.ndarray, held_terms: np.ndarray, weight: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _enough_weight(p: Passages, passage: np.ndarray, item: np.ndarray, step: int, span: int, sizes: np.ndarray, held_terms: np.ndarray, held_weight: np.ndarray, n_terms: int, least: np.ndarray) -> np.ndarray:
     """Which candidates have the least weight of their item's distinct terms around the passage; others can't be leaks."""
     base, a = p.doc[passage] << 34, p.number[passage] * step
     lo = np.searchsorted(p.telling_at, base + np.maximum(a - sizes[item], 0))
     per = np.searchsorted(p.telling_at, base + a + span + sizes[item]) - lo
-    asked = np.repeat(item, per) * len(weight) + p.telling[T.gather(lo, per)]
+    asked = np.repeat(item, per) * n_terms + p.telling[T.gather(lo, per)]
     pair = np.repeat(np.arange(len(item)), per)
     at = np.minimum(np.searchsorted(held_terms, asked), len(held_terms) - 1)
     ok = held_terms[at] == asked
     both = T.distinct(pair[ok] * len(held_terms) + at[ok])
-    got = np.bincount(both // len(held_terms), weight[held_terms[both % len(held_terms)] % len(weight)], len(item))
+    got = np.bincount(both // len(held_terms), held_weight[both % len(held_terms)], len(item))
     return got >= least[item] * (1 - 1e-5)
 
 
@@ -254,12 +262,13 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
     items.weigh(df[:-1], int(df[-1]))
     space = latent_space(seqs, items, span, rank)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    held = spark.sparkContext.broadcast((items.weight, space, unit(items.matrix @ space).astype(np.float32), items.ids, items.seqs))
+    held = spark.sparkContext.broadcast((items.weight, items.own, space, unit(items.matrix @ space).astype(np.float32), items.ids, items.seqs))
     step = span // 2
 
     def run(batches):
-        weight, m, vectors, ids, seq = held.value
-        total = np.array([weight[np.unique(s)].sum() for s in seq])
+        weight, own, m, vectors, ids, seq = held.value
+        total = np.array([w.sum() for w in own])
+        held_weight = np.concatenate(own)
         sizes = np.array([len(s) for s in seq], np.int64)
         held_terms = np.concatenate([j * len(weight) + np.unique(s) for j, s in enumerate(seq)])
         for b in _pieces(batches):
@@ -271,7 +280,7 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
             for i in range(0, len(v), 1024):
                 cos = v[i : i + 1024] @ vectors.T
                 row, item = np.nonzero(cos >= cosine)
-                ok = _enough_weight(p, i + row, item, step, span, sizes, held_terms, weight, telling * total)
+                ok = _enough_weight(p, i + row, item, step, span, sizes, held_terms, held_weight, len(weight), telling * total)
                 row, item = row[ok], item[ok]
                 for r, j in zip(row.tolist(), item.tolist()):
                     d, c = int(p.doc[i + r]), float(cos[r, j])
@@ -281,7 +290,7 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
                     w = slice(lo + np.searchsorted(p.places[lo:hi], a - len(s)), lo + np.searchsorted(p.places[lo:hi], a + span + len(s)))
                     near, at = p.terms[w], p.places[w]
                     there = np.isin(s, near)
-                    if there.sum() < match * len(s) or weight[np.unique(s[there])].sum() < telling * total[j]:
+                    if there.sum() < match * len(s) or own[j][np.isin(np.unique(s), near)].sum() < telling * total[j]:
                         continue
                     if 2 * there[-max(2, -(-len(s) // 5)) :].sum() < min(len(s), max(2, -(-len(s) // 5))):
                         continue

@@ -303,6 +303,27 @@ def test_leaks_are_those_of_a_word_search(spark):
     assert decontamination.leaks(own.limit(0), bench).count() == 0 and decontamination.leaks(own, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_items_that_leak_often(spark):
+    """Items that each stand in far over half a percent of passages, and share common words, are all found."""
+    r = random.Random(5)
+    common = ["the", "and", "of", "to", "in"]
+    own = [f"v{k}" for k in range(400)]
+    line = lambda n: " ".join(r.choice(common if r.random() < 0.4 else own) for _ in range(n))
+    items = [(k, line(22)) for k in range(40)]
+    hot = {2: items[2][1], 3: items[3][1], 5: items[5][1]}
+    texts, planted = [], set()
+    for d in range(1200):
+        parts = [line(90)]
+        for k, t in hot.items():
+            if r.random() < 0.2:
+                planted.add((d, k))
+                parts += [t, line(60)]
+        texts.append((d, " ".join(parts)))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(docs, bench).collect()}
+    assert planted <= got
+
+
 def test_quality_and_language_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
