@@ -43,6 +43,12 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or the first of name_1, name_2, … that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if c.lower() not in taken)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -10,22 +10,50 @@ holds more than a bucket or a shard.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textops as T
 from .common import documents, partitions
 
+#: Text whose keys one shard holds; bounds a shard's memory at any size of the corpus.
+SHARD_BYTES = 64 << 20
+
 
 def bucketed(docs: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int]:
     """(doc_id, text, bucket), and the number of buckets. Buckets hold about bucket_bytes of text, and a document at least."""
     base = documents(docs)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // bucket_bytes))
-    return base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
+    n = bucket_count(docs.sparkSession, size, bucket_bytes)
+    return base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), size
+
+
+def bucket_count(spark: SparkSession, size: int, bucket_bytes: int) -> int:
+    """Buckets of about bucket_bytes; in small tables smaller ones, a megabyte at least, so that all tasks have some."""
+    return max(1, -(-size // bucket_bytes), min(partitions(spark), -(-size // (1 << 20))))
+
+
+def shard_count(df: DataFrame, size: int) -> int:
+    """A shard for each SHARD_BYTES of text, so that none grows with the corpus, and one a task at least."""
+    return max(partitions(df.sparkSession), -(-size // SHARD_BYTES))
+
+
+def by_shard(batches):
+    """(shard, its blocks) of each shard that a task holds; repartitionById gives a task one."""
+    got: dict[int, list] = {}
+    for b in batches:
+        at = b.schema.get_field_index("shard")
+        for shard, *block in zip(b.column(at).to_pylist(), *(c.to_pylist() for i, c in enumerate(b.columns) if i != at)):
+            got.setdefault(shard, []).append(block)
+    for shard in sorted(got):
+        yield shard, got.pop(shard)
 
 
-def shard_count(df: DataFrame) -> int:
-    return partitions(df.sparkSession)
+def flags(told: pa.Table, kind: int) -> np.ndarray:
+    """The answers of one kind to a bucket, a bit each, in the order of the bucket's keys."""
+    rows = sorted((s, c, x) for k, s, c, x in zip(*(told.column(f).to_pylist() for f in ("kind", "shard", "n", "data"))) if k == kind)
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=c) for _, c, x in rows]
+    return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
 
 
 def shard_of(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:

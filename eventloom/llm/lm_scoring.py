@@ -69,8 +69,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, prior: float = 300.0,
     and empty texts have one token, the end. A null doc_id counts as the empty text for the fold.
     Repeated rows count and are scored each. An empty table gives no rows.
     """
-    base, _ = X.bucketed(docs, bucket_bytes)
-    shards = X.shard_count(docs)
+    base, size = X.bucketed(docs, bucket_bytes)
+    shards = X.shard_count(docs, size)
 
     def ask(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()

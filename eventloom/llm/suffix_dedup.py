@@ -170,8 +170,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20)
     """
     if length < 8:
         raise ValueError("length must be 8 or more")
-    base, _ = X.bucketed(docs, bucket_bytes)
-    shards = X.shard_count(docs)
+    base, size = X.bucketed(docs, bucket_bytes)
+    shards = X.shard_count(docs, size)
 
     def ask(table: pa.Table) -> pa.Table:
         _, _, ids, (v, _, _, doc) = _read(table, length)
