@@ -252,27 +252,51 @@ def test_tightest_window():
             rooms.append(64 - z)
 
 
-def test_lm_scores_equal_brute_force(docs, rows):
-    prior = 300.0
+def brute_force_lm(rows):
+    """Scores by the formulas, and a walk with an explicit stack of histories."""
     seqs = [(d, words(lower(t)) + [None]) for d, t in rows]
     out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
-    uni, bi = Counter(), Counter()
+    uni, bi, tri = Counter(), Counter(), Counter()
     for d, w in seqs:
         if not out(d):
             uni.update(w)
             bi.update(zip([0, *w[:-1]], w))
+            tri.update(zip([0, *w], w, w[1:]))
+
+    def fit(histories, ones):  # histories by bins of powers of two, each with its mean
+        bins = {}
+        for c in histories:
+            bins.setdefault(c.bit_length(), []).append(c)
+        lo, hi = math.log(0.01), math.log(1e6)
+        for _ in range(60):
+            k = math.exp((lo + hi) / 2)
+            left = sum(sum(b) * k / (sum(b) / len(b) + k) for b in bins.values())
+            lo, hi = ((lo + hi) / 2, hi) if left < ones else (lo, (lo + hi) / 2)
+        return math.exp((lo + hi) / 2)
+
+    k2, k3 = fit(uni.values(), sum(c == 1 for c in bi.values())), fit(bi.values(), sum(c == 1 for c in tri.values()))
     n, v = sum(uni.values()), len(uni)
     want = []
     for d, w in seqs:
         base = score = 0.0
-        for h, x in zip([0, *w[:-1]], w):
+        for i, x in enumerate(w):
             p = (uni[x] + 1) / (n + v + 1)
-            c = uni[None] if h == 0 else uni[h]
             base += math.log10(p)
-            score += math.log10((bi[h, x] + prior * p) / (c + prior))
-        want.append((str(d), out(d), len(w), sum(uni[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
-    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(docs, bucket_bytes=20_000).collect()]
-    assert sorted(got) == sorted(want)
+            h = w[i - 1] if i else 0
+            p = (bi[h, x] + k2 * p) / ((uni[h] if i else uni[None]) + k2)
+            if i:
+                g = w[i - 2] if i > 1 else 0
+                p = (tri[g, h, x] + k3 * p) / (bi[g, h] + k3)
+            score += math.log10(p)
+        want.append((str(d), out(d), len(w), sum(uni[x] > 0 for x in w), n, round(base, 5), round(score, 5)))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("stretch", [4, 256])
+def test_lm_scores_equal_brute_force(docs, rows, stretch, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STRETCH", stretch)
+    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in lm_scoring.score(docs, bucket_bytes=20_000).collect()]
+    assert sorted(got) == brute_force_lm(rows)
     assert lm_scoring.score(empty(docs)).count() == 0
 
 
