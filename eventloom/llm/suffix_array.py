@@ -4,16 +4,17 @@ Suffixes are classified as smaller (S) or larger (L) than the next; the leftmost
 suffixes (LMS) are sorted first, all others are induced from them in one pass up and one pass down
 the buckets of first symbols. Within a bucket the pass advances in arrays: all suffixes that a
 stretch of sorted suffixes induces are found at once and dealt, in order, to the buckets of their
-first symbols; only suffixes of the same symbol have to be taken up again.
+first symbols; only suffixes of the same symbol have to be taken up again. A reduced string has many
+symbols and buckets of a suffix or two: there the same passes fill the buckets one suffix at a time, by
+their offsets. Every level is sorted by induction, down to one whose symbols all differ.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols up to which a string is sorted by induction; the reduced string of a large alphabet is
-#: sorted by rank doubling instead, as its buckets would hold a suffix or two each.
-ALPHABET = 2048
+#: Suffixes a bucket of first symbols must hold on average to be dealt as arrays; smaller buckets are filled one by one.
+WIDE = 256
 
 
 def is_smaller(s: np.ndarray) -> np.ndarray:
@@ -48,6 +49,8 @@ class _Deal:
 
 def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """The order of all suffixes (of LMS substrings, if `lms` is not sorted yet) from that of the LMS ones."""
+    if len(s) < WIDE * symbols:
+        return _induce_by_offsets(s, smaller, lms, symbols)
     start = _Deal(symbols)
     start.put(lms, s[lms])
     up, down = _Deal(symbols), _Deal(symbols)
@@ -87,13 +90,41 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) ->
     return np.concatenate(out)[::-1]
 
 
+def _induce_by_offsets(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
+    """`induce` for small buckets: each has a head and a tail in one list, moved as suffixes come in."""
+    per = np.bincount(s, minlength=symbols)
+    ends = np.cumsum(per)
+    order = [-1] * len(s)
+    # the symbol of each suffix's predecessor if that is larger, or smaller; -1 if not, and for empty places
+    before = np.concatenate([[-1], s[:-1].astype(np.int64), [-1]])
+    small = np.concatenate([[False], smaller[:-1], [False]])
+    tail = ends.tolist()
+    for p, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist()):
+        tail[c] -= 1
+        order[tail[c]] = p
+    symbol = np.where(small, -1, before).tolist()
+    head = (ends - per).tolist()
+    for p in order:  # reads what it has put there
+        c = symbol[p]
+        if c >= 0:
+            at = head[c]
+            order[at] = p - 1
+            head[c] = at + 1
+    symbol = np.where(small, before, -1).tolist()
+    tail = ends.tolist()
+    for p in reversed(order):
+        c = symbol[p]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            order[at] = p - 1
+    return np.array(order, np.int32)
+
+
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """Starts of the suffixes of `s`, sorted. s[-1] is 0 and the only 0."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int32)
-    if symbols > ALPHABET:
-        return _doubling(s)  # ranks of a large alphabet
     smaller = is_smaller(s)
     lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
@@ -132,38 +163,6 @@ def _differ(s: np.ndarray, lms: np.ndarray, rough: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], diff.astype(np.int32)])
 
 
-def _doubling(s: np.ndarray) -> np.ndarray:
-    """Sorts by doubled ranks; only suffixes whose rank is shared are sorted on."""
-    n = len(s)
-    top = int(s.max()) + 1
-    wide, key, k = top, s.astype(np.int64), 1
-    while wide < (1 << 62) // top and k < 8:  # as many symbols as fit in the first key
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = s[k:] if k < n else 0
-        key = key * top + nxt
-        wide, k = wide * top, k + 1
-    order = np.argsort(key)
-    own = key[order]
-    head = np.concatenate([[True], own[1:] != own[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    while True:
-        single = head & np.append(head[1:], True)
-        live = np.flatnonzero(~single)
-        if not len(live):
-            return order.astype(np.int32)
-        at = order[live]
-        second = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
-        group = rank[at]
-        sub = np.lexsort((second, group))
-        at, second, group = at[sub], second[sub], group[sub]
-        order[live] = at
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
-        head[live] = new
-        rank[at] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
-        k *= 2
-
-
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, enough: int | None = None) -> np.ndarray:
     """PLCP: for each position, the common prefix with the suffix before it in the array.
 
