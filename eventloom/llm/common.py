@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of this machine only where the setting is missing (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where the setting is missing, a local session gets a folder of this machine; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             path = held.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="eventloom-")
             spark.sparkContext.setCheckpointDir(path)
@@ -49,6 +51,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(c for c in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if c.lower() not in taken)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in the one column of `gone`; null ids stay, and columns keep any names they have."""
+    key = fresh(docs, "gone_id")
+    return docs.join(gone.toDF(key).distinct(), F.col("doc_id") == F.col(key), "left_anti")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, most: int = 500) -> DataFrame:
+    """Inner join on `key` with `right`, which has a key once and counts left's rows with it as `n`.
+
+    Keys of over a 500th of left's `total` rows, 500 at most, are joined by broadcast, so that no task
+    gets all rows of one; others meet in a shuffle. `n` is dropped.
+    """
+    limit = max(64, total // most)
+    few = F.broadcast(right.where(F.col("n") > limit).drop("n"))
+    rest = left.join(few.select(key), key, "left_anti").join(right.where(F.col("n") <= limit).drop("n"), key)
+    return left.join(few, key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import join_hot, stored
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -48,20 +48,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; `edges` has long columns a and b.
 
     Alternates star operations on a table in the shared folder until nothing changes. Each round
-    joins on a node's current smallest neighbour, found by a combining aggregate, so that a hot
-    node never has its neighbours gathered in one place. An empty table gives an empty result.
+    joins on a node's current smallest neighbour, found by a combining aggregate; the few nodes of
+    many neighbours are broadcast, so that none has its neighbours gathered in one place. An empty table gives an empty result.
     """
     now = stored(edges.select("a", "b").mapInArrow(contract, "a long, b long"), "links")
+    total = now.count()
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # each neighbour, and the node itself, is linked to the node's smallest
-        linked = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        linked = join_hot(both, least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         linked = linked.unionByName(least.select("a", F.col("m").alias("b")))
         new = stored(linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(contract, "a long, b long").distinct(), "links")
         state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        now = new
+        now, total = new, state["n"]
         if before == state:
             break
         before = state

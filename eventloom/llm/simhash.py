@@ -1,27 +1,31 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most `max_bits` bits
-differ in at most `max_bits` bytes, so they share at least 8 - max_bits (five) positional bytes:
-pairs of the index are tallied by shared positional bytes, those under that minimum go, and the
-rest are verified by their differing bits. Posting lists of single bytes would have N/256 entries
-each (pairs would grow with the square of the corpus), so a posting list here is the intersection
-of the lists of a few positions: the position sets are chosen such that every five positions
-contain one of them, hence no pair is lost. The number of positions in a set follows the number
-of distinct fingerprints, so lists stay short at any size. A list that is still long (a group of
-near copies) is dealt on by the rest of its bits: of four parts of those bits, one must be equal.
-Exact copies meet once, as one fingerprint.
+differ in at most `max_bits` bytes, so they share at least 8 - max_bits (five) positional bytes. Posting
+lists of single bytes would have N/256 entries each (pairs would grow with the square of the corpus), so
+the index is over sets of positions: a posting list holds the fingerprints that share the bytes of three
+positions (or four, or five, as distinct fingerprints grow, so that lists stay short at any size). Every
+set of positions has its lists; each list a pair stands in counts for one shared set, pairs are tallied,
+and those that share at least five bytes' worth of sets (10 of 56 sets of three, 5 of 70 of four) are
+verified by their differing bits.
+
+A list that is long (a group of near copies) is not paired. Of a few sets that five positions cannot
+avoid, its lists are dealt on by the rest of their bits: of four parts of those bits, one must be equal. A
+pair that shares long lists may fall short in its tally: the minimum falls by the fewer of both sides'
+long lists. Exact copies meet once, as one fingerprint.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textops as T
-from .common import documents, stored
+from .common import documents, join_hot, stored, without
 from .graph import components
 
 FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -87,11 +91,26 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def postings(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, k, key): each fingerprint in the lists of all position sets, given as masks."""
+    return distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("e")).select("fp", "e.k", "e.key")
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """(a, b, tally): how many lists each pair shares."""
+    pairs = lists.select("k", "key", F.col("fp").alias("a")).join(lists.select("k", "key", F.col("fp").alias("b")), ["k", "key"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally"))
+
+
 def _verified(pairs: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs (a, b) that reach the minimum of shared positional bytes, then the bit test."""
-    x: Column = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-    return pairs.where((tally >= 8 - max_bits) & (F.bit_count(x) <= max_bits))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+
+
+def _lists(keyed: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of lists of several entries: (short lists, long lists). The size is counted before the join, so a hot key costs a row."""
+    count = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
+    sized = keyed.join(count, ["k", "key"])
+    return sized.where(F.col("m") <= long_list).select("k", "key", "fp"), sized.where(F.col("m") > long_list).select("k", "key", "fp")
 
 
 def links(distinct: DataFrame, max_bits: int = 3, long_list: int = 128, n: int | None = None) -> DataFrame:
@@ -104,18 +123,22 @@ def links(distinct: DataFrame, max_bits: int = 3, long_list: int = 128, n: int |
     shared = 8 - max_bits
     n = distinct.count() if n is None else n
     size = next((s for s in range(min(3, shared), shared + 1) if n <= 256**s // 4), shared)
-    masks = [_mask(s) & ((1 << 64) - 1) for s in position_sets(size, shared)]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("e")).select("fp", "e.k", "e.key")
-    found = None
-    for _ in range(3):
-        keyed = stored(keyed, "postings")
-        count = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
-        short = keyed.join(count.where(F.col("m") <= long_list), ["k", "key"]).select("k", "key", "fp")
-        got = _verified(short.select("k", "key", F.col("fp").alias("a")).join(short.select("k", "key", F.col("fp").alias("b")), ["k", "key"]).where("a < b").select("a", "b"), max_bits)
-        found = got if found is None else found.unionByName(got)
-        heavy = stored(keyed.join(count.where(F.col("m") > long_list), ["k", "key"]).select("k", "key", "fp"), "long-lists")
-        if heavy.isEmpty():
-            return found
+    least = comb(shared, size)
+    sets = list(combinations(range(8), size))
+    cover = position_sets(size, shared)
+    sets = [*cover, *(s for s in sets if s not in cover)]  # the unavoidable ones come first
+    masks = [_mask(s) & ((1 << 64) - 1) for s in sets]
+    short, heavy = _lists(postings(distinct, masks), long_list)
+    heavy = stored(heavy, "long-lists")
+    pairs = tallied(short)
+    if heavy.isEmpty():
+        return _verified(pairs.where(F.col("tally") >= least), max_bits)
+    longs = heavy.groupBy("fp").agg(F.count("*").alias("longs"))
+    for c in ("a", "b"):
+        pairs = pairs.join(longs.select(F.col("fp").alias(c), F.col("longs").alias(f"long_{c}")), c, "left").na.fill(0, f"long_{c}")
+    found = _verified(pairs.where(F.col("tally") + F.least("long_a", "long_b") >= least), max_bits)
+    masks, keyed = masks[: len(cover)], heavy.where(F.col("k") < len(cover)).select("fp", "k", "key")
+    for _ in range(2):
         # the rest of the bits in four parts: at most three of them hold a differing bit
         deal = []
         next_masks = []
@@ -126,8 +149,13 @@ def links(distinct: DataFrame, max_bits: int = 3, long_list: int = 128, n: int |
                 part = sum(1 << b for b in rest[i : i + q])
                 deal.append(F.struct(F.lit(k).alias("from"), F.lit(len(next_masks)).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m | part))).alias("key")))
                 next_masks.append(m | part)
-        keyed = heavy.select("fp", "k", F.explode(F.filter(F.array(*deal), lambda e: e["from"] == F.col("k"))).alias("e")).select("fp", "e.k", "e.key")
+        keyed = keyed.select("fp", "k", F.explode(F.filter(F.array(*deal), lambda e: e["from"] == F.col("k"))).alias("e")).select("fp", "e.k", "e.key")
         masks = next_masks
+        short, keyed = _lists(keyed, long_list)
+        keyed = stored(keyed, "long-lists")
+        found = found.unionByName(_verified(tallied(short), max_bits))
+        if keyed.isEmpty():
+            return found
     # lists that agree in all but a few bits: neighbours are looked up by flipping those bits
     return found.unionByName(_flips(keyed, masks, max_bits))
 
@@ -136,8 +164,8 @@ def _flips(keyed: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
     """Links within lists whose open bits are few: each fingerprint looks up those at a flipped distance.
 
     x and y differ in at most max_bits open bits exactly if some z is ceil(max_bits/2) flips from one and the
-    rest from the other; only the smallest fingerprint of each z is linked, so a dense group gives a star for
-    each z and not all its pairs.
+    rest from the other. All at the former distance of z are linked to the smallest at the latter: each such
+    link is within max_bits, both x and y get one, and a dense group gives a star for each z, not its pairs.
     """
     half, other = -(-max_bits // 2), max_bits // 2
     open_bits = {k: _bits(~m & ((1 << 64) - 1)) for k, m in enumerate(masks)}
@@ -146,7 +174,8 @@ def _flips(keyed: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
         table = keyed.sparkSession.createDataFrame([(k, _signed(sum(1 << b for b in c))) for k, bits in open_bits.items() for r in range(most + 1) for c in combinations(bits, r)], "k int, flip long")
         return keyed.join(F.broadcast(table), "k").select(F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), F.col("fp").alias(name)).distinct()
 
-    return spread(half, "a").join(spread(other, "b"), "z").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least = spread(other, "b").groupBy("z").agg(F.min("b").alias("b"))
+    return spread(half, "a").join(least, "z").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
@@ -158,12 +187,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: in
     component_id is null if nothing else is reachable). An empty table gives no rows.
     """
     fps = stored(fingerprints(docs, width, seed), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), max_bits))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select("fp", "component_id", "n")
+    return join_hot(fps, named, "fp", fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 3) -> DataFrame:
@@ -171,5 +200,5 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 3) -> DataFrame:
 
     Of rows with one doc_id the operator keeps all or none. Rows of null doc_id are kept.
     """
-    groups = near_duplicates(docs, width, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("_dropped_id"), "left_anti")
+    groups = near_duplicates(docs, width, max_bits).where("doc_id <> component_id")
+    return without(docs, groups.select("doc_id"))

@@ -1,12 +1,14 @@
 """The steps inside the corpus operators, each against brute force."""
 
+import itertools
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from eventloom.llm import line_dedup
+from eventloom.llm import line_dedup, simhash, suffix_array
 
 
 def bucket_of(texts, min_words, ids=None):
@@ -58,3 +60,58 @@ def test_line_stage_carries_columns_of_any_name(spark):
     want[2] |= {"text": "new words", "n_chars": 9}
     assert got == want
     assert line_dedup.clean(df.limit(0)).count() == 0
+
+
+def test_every_level_of_a_suffix_array_is_induced(monkeypatch):
+    """A megabyte of real text: the reduced strings are sorted by recursion, several levels deep."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    raw = b"\xff".join(t.encode() for t in texts if t)[: 1 << 20]
+    s = np.append(np.frombuffer(raw, np.uint8), np.uint8(0))
+    s[:-1] = np.maximum(s[:-1], 1)
+    levels, inner = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda s, n: levels.append(len(s)) or inner(s, n))
+    sa = suffix_array.suffix_array(s, 256)
+    assert len(levels) >= 3 and all(2 * b <= a + 1 for a, b in zip(levels, levels[1:]))
+    assert np.array_equal(np.sort(sa), np.arange(len(s)))
+    text = s.tobytes()
+    for i in random.Random(5).sample(range(len(sa) - 1), 3000):
+        a, b, k = int(sa[i]), int(sa[i + 1]), 64
+        while text[a : a + k] == text[b : b + k]:
+            k *= 2
+        assert text[a : a + k] < text[b : b + k]
+
+
+def test_both_ways_of_inducing_agree(monkeypatch):
+    r = random.Random(6)
+    for _ in range(100):
+        s = np.array([r.randrange(1, r.choice([2, 3, 9, 200])) for _ in range(r.randrange(150))] + [0], np.uint8)
+        want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        for wide in (0, 256):
+            monkeypatch.setattr(suffix_array, "WIDE", wide)
+            assert suffix_array.suffix_array(s, 200).tolist() == want
+
+
+def test_pairs_are_tallied_over_posting_lists(spark):
+    """Tallies are the shared position sets; only pairs that reach the minimum go on, and none within the radius is lost."""
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(12)]
+    near = [b ^ sum(1 << r.randrange(64) for _ in range(k)) for b in base for k in (1, 2, 3)]
+    half = [(b & 0xFFFFFFFF) | (r.getrandbits(32) << 32) for b in base]  # four bytes shared: one list of four sets, never enough
+    fps = sorted(set(base + near + half))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for size in (3, 4):
+        sets = list(itertools.combinations(range(8), size))
+        masks = [simhash._mask(s) for s in sets]
+        got = {(x.a, x.b): x.tally for x in simhash.tallied(simhash.postings(df, masks)).collect()}
+        want = {}
+        for x, y in itertools.combinations(fps, 2):
+            same = [p for p in range(8) if (x ^ y) >> 8 * p & 255 == 0]
+            if len(same) >= size:
+                want[tuple(sorted((signed(x), signed(y))))] = math.comb(len(same), size)
+        assert got == want
+        assert any(n < math.comb(5, size) for n in want.values())
+    links = {(x.a, x.b) for x in simhash.links(df).collect()}
+    assert links == {tuple(sorted((signed(x), signed(y)))) for x, y in itertools.combinations(fps, 2) if (x ^ y).bit_count() <= 3}
