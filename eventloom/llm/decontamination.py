@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
-from .common import documents, stored
+from .common import documents, stored, without
 
-#: Tasks that sum the SVD's products: each sends a matrix of the items' terms x rank, whatever the corpus' size.
-SUM_TASKS = 128
-#: Benchmark items held by a task at a time; more are searched in blocks.
-ITEMS_A_BLOCK = 2000
+#: Share of all passages from which on a term is common: it stays out of the vectors, whatever the corpus' size.
+COMMON = 0.01
+#: Cosines held at once by a task.
+COSINES = 1 << 20
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("item_words", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("doc_words", pa.int64())])
 HIT_DDL = "doc_id long, item_id long, cosine double, lcs long, item_words long, first_word long, last_word long, doc_words long"
 
@@ -52,26 +53,44 @@ class Items:
         self.seqs = np.split(seq, np.cumsum(words.per_doc)[:-1]) if len(rows) else []
 
     def weigh(self, df: np.ndarray, n: int) -> None:
-        """IDF weights; terms of more than 20 passages and half a percent of all tell nothing, unless an item has no others.
+        """IDF weights. Common terms have none, unless an item has too little without them.
 
-        `weight` is for the vectors of all passages and items; `own` has each item's weights of its distinct
-        terms, which no other item's lack of telling terms changes.
+        An item whose common terms hold over half of its weight keeps all of its terms, and they enter the
+        vectors of all passages. `own` has each item's weights of its distinct terms, which no other item changes.
         """
-        idf = np.log((n + 2) / (df + 1))
-        telling = df <= n / 200 + 20
-        full = np.maximum(idf, 0.1).astype(np.float32)
-        bare = [bool(len(s)) and not telling[s].any() for s in self.seqs]
+        full = np.maximum(np.log((n + 2) / (df + 1)), 0.1).astype(np.float32)
+        telling = df <= COMMON * n
         used = telling.copy()
-        for s, all_terms in zip(self.seqs, bare):
-            if all_terms:
-                used[s] = True
+        self.own = []
+        rows, terms, values = [], [], []
+        for s in self.seqs:
+            t = np.unique(s)
+            mine = telling[t] if 2 * full[t][telling[t]].sum() >= full[t].sum() else np.ones(len(t), bool)
+            used[t[mine]] = True
+            self.own.append(np.where(mine, full[t], np.float32(0)))
         self.weight = np.where(used, full, np.float32(0))
-        self.own = [full[t] if all_terms else np.where(telling[t], full[t], np.float32(0)) for t, all_terms in zip(map(np.unique, self.seqs), bare)]
-        b = np.zeros((len(self.seqs), len(self.terms)), np.float32)
         for i, s in enumerate(self.seqs):
             t, c = np.unique(s, return_counts=True)
-            b[i, t] = np.sqrt(c) * self.weight[t]
-        self.matrix = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-9)
+            v = np.sqrt(c) * self.weight[t]
+            rows.append(np.full(len(t), i))
+            terms.append(t)
+            values.append((v / max(float(np.linalg.norm(v)), 1e-9)).astype(np.float32))
+        self.row, self.term, self.value = (np.concatenate(x) if x else np.zeros(0) for x in (rows, terms, values))
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        """The items' unit vectors (items x terms, held sparse) times a matrix."""
+        out = np.zeros((len(self.seqs), m.shape[1]), m.dtype)
+        for a in range(0, len(self.row), 1 << 16):
+            w = slice(a, a + (1 << 16))
+            np.add.at(out, self.row[w], m[self.term[w]] * self.value[w, None])
+        return out
+
+    def transposed_times(self, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.terms), y.shape[1]), y.dtype)
+        for a in range(0, len(self.row), 1 << 16):
+            w = slice(a, a + (1 << 16))
+            np.add.at(out, self.term[w], y[self.row[w]] * self.value[w, None])
+        return out
 
 
 def _sequences(base: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -157,24 +176,30 @@ def _pieces(batches, rows: int = 100):
 
 
 def _summed(seqs: DataFrame, make, shape: tuple[int, int], blocks: int = 16) -> np.ndarray:
-    """The sum over all tasks of the matrix that `make` fills from a task's batches; added up in Spark, by blocks of rows."""
+    """The sum over all tasks of the matrix that `make` fills from a task's batches.
+
+    It is added up in Spark by blocks of rows, in two steps: of n tasks, some square root of n add up theirs first.
+    """
+    groups = max(1, round(seqs.rdd.getNumPartitions() ** 0.5))
     edges = np.linspace(0, shape[0], blocks + 1).astype(int)
 
     def run(batches):
         out = np.zeros(shape, np.float32)
         for b in _pieces(batches):
             make(b, out)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([out[edges[i] : edges[i + 1]].tobytes() for i in range(blocks)], pa.binary())], names=["block", "m"])
+        group = TaskContext.get().partitionId() % groups
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([group] * blocks, pa.int32()), pa.array([out[edges[i] : edges[i + 1]].astype(np.float64).tobytes() for i in range(blocks)], pa.binary())], names=["block", "g", "m"])
 
     def add(batches):
         got: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got[k] = got.get(k, 0) + np.frombuffer(m, np.float32).astype(np.float64)
+            for k, m in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                got[k] = got.get(k, 0) + np.frombuffer(m)
         for k, m in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["block", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["block", "g", "m"])
 
-    parts = seqs.coalesce(SUM_TASKS).mapInArrow(run, "block int, m binary").repartition(blocks, "block").mapInArrow(add, "block int, m binary").collect()
+    ddl = "block int, g int, m binary"
+    parts = seqs.mapInArrow(run, ddl).repartition(blocks * groups, "block", "g").mapInArrow(add, ddl).repartition(blocks, "block").mapInArrow(add, ddl).collect()
     out = np.zeros(shape)
     for r in parts:
         out[edges[r["block"]] : edges[r["block"] + 1]] = np.frombuffer(bytes(r["m"])).reshape(-1, shape[1])
@@ -195,7 +220,7 @@ def latent_space(seqs: DataFrame, items: Items, span: int, rank: int, seed: int
         p.transposed_times(p.times(m), out)
 
     g = _summed(seqs, reach, omega.shape)
-    own = items.matrix.T @ (items.matrix @ omega)
+    own = items.transposed_times(items.times(omega))
     g += own * (np.linalg.norm(g) / max(np.linalg.norm(own), 1e-9))
     q = np.ascontiguousarray(np.linalg.qr(g)[0], dtype=np.float32)
     bq = seqs.sparkSession.sparkContext.broadcast((q, weight))
@@ -206,31 +231,29 @@ def latent_space(seqs: DataFrame, items: Items, span: int, rank: int, seed: int
         out += y.T @ y
 
     c = _summed(seqs, gram, (q.shape[1], q.shape[1]), blocks=1)
-    e = items.matrix @ q
+    e = items.times(q)
     e = e.T @ e
     c += e * (max(np.trace(c), 1e-9) / max(np.trace(e), 1e-9))
     _, u = np.linalg.eigh(c)
     return np.ascontiguousarray(q @ u[:, ::-1][:, :k], dtype=np.float32)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, span: int = 64, rank: int = 256, cosine: float = 0.35, match: float = 0.7, telling: float = 0.7) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, span: int = 64, rank: int = 256, cosine: float = 0.35, match: float = 0.65, telling: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, item_words, first_word, last_word, doc_words): the items that a document holds, wholly or nearly.
 
     A leak needs `match` of the item's words in order around a passage, `telling` of its words by IDF
     weight there, and half of its last fifth. Null and empty texts, on either side, match nothing.
     Rows that repeat a doc_id, or item_id, are each looked at, and give equal rows once. Null ids stay
-    null. Empty tables give no rows. Words are compared lower-cased.
+    null. Empty tables give no rows. Words are compared lower-cased. Texts may be of any length; of several
+    passages that hold an item, the longest subsequence counts, then the cosine, then the first. All items
+    share one latent space; they are held by the driver and every task, so a benchmark must fit in memory.
+    Other columns are not looked at.
     """
     base = documents(docs)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    blocks = max(1, -(-rows.count() // ITEMS_A_BLOCK))
-    out = None
-    for k in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = sorted(own.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        found = _search(base, Items(got), span, rank, cosine, match, telling)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("lcs", "cosine", F.negative("first_word"))).alias(c) for c in HIT.names[2:]))
+    got = sorted(rows.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+    found = _search(base, Items(got), span, rank, cosine, match, telling)
+    return found.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("lcs", "cosine", F.negative("first_word"))).alias(c) for c in HIT.names[2:]))
 
 
 def _enough_weight(p: Passages, passage: np.ndarray, item: np.ndarray, step: int, span: int, sizes: np.ndarray, held_terms: np.ndarray, held_weight: np.ndarray, n_terms: int, least: np.ndarray) -> np.ndarray:
@@ -262,7 +285,7 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
     items.weigh(df[:-1], int(df[-1]))
     space = latent_space(seqs, items, span, rank)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    held = spark.sparkContext.broadcast((items.weight, items.own, space, unit(items.matrix @ space).astype(np.float32), items.ids, items.seqs))
+    held = spark.sparkContext.broadcast((items.weight, items.own, space, unit(items.times(space)).astype(np.float32), items.ids, items.seqs))
     step = span // 2
 
     def run(batches):
@@ -277,8 +300,9 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
             begin = np.cumsum(p.per) - p.per
             names, n_words = b.column(0).to_pylist(), b.column(1).to_pylist()
             v = unit(p.times(m))
-            for i in range(0, len(v), 1024):
-                cos = v[i : i + 1024] @ vectors.T
+            block = max(16, COSINES // len(vectors))
+            for i in range(0, len(v), block):
+                cos = v[i : i + block] @ vectors.T
                 row, item = np.nonzero(cos >= cosine)
                 ok = _enough_weight(p, i + row, item, step, span, sizes, held_terms, held_weight, len(weight), telling * total)
                 row, item = row[ok], item[ok]
@@ -309,6 +333,5 @@ def _search(base: DataFrame, items: Items, span: int, rank: int, cosine: float,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents of `docs` that hold no benchmark item, all columns kept; rows of null doc_id are kept."""
-    found = leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_leaking_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leaking_id"), "left_anti")
+    """The documents of `docs` that hold no benchmark item, all columns kept under any names; rows of null doc_id are kept."""
+    return without(docs, leaks(docs, benchmark).where("doc_id is not null").select("doc_id"))
