@@ -117,13 +117,13 @@ def cut_windows(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def sampled(docs: DataFrame, folds: int, held_fold: int, per_class: int, width: int = 128, windows_a_text: int = 8) -> list:
-    """(lang, windows) of at most per_class training rows of each language, those of the smallest hashed doc_id; a text's windows are spread over all of it."""
+    """(lang, windows) of at most per_class training rows of each language, those of the smallest hash of doc_id and text; windows_a_text windows of each, spread over all of it."""
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_fold))
     counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
     if not counts:
         return []
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * per_class / n + 1e-9))) for k, n in sorted(counts.items())])
-    draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
+    draw = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
 
     def cut(batches):
         for b in T.slices(batches, "text", 1 << 20):
@@ -135,7 +135,7 @@ def sampled(docs: DataFrame, folds: int, held_fold: int, per_class: int, width:
                 rows.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), windows_a_text)).astype(int))].tobytes() if len(x) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2), b.column(3)], names=["lang", "x", "draw", "doc_id"])
 
-    rows = train.select("lang", "text", draw, "doc_id").where(F.col("draw") < share).mapInArrow(cut, "lang string, x binary, draw double, doc_id long").collect()
+    rows = train.select("lang", "text", draw, "doc_id").where(F.col("draw") < share).mapInArrow(cut, "lang string, x binary, draw double, doc_id long").distinct().collect()  # rows that repeat are one
     out, used = [], {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"]))):
         used[r["lang"]] = used.get(r["lang"], 0) + 1
@@ -160,15 +160,16 @@ def train(rows: list, width: int = 128, epochs: int = 4) -> tuple[list[str], dic
     return langs, net.tables()
 
 
-def language_id(docs: DataFrame, folds: int = 4, held_fold: int = 2, per_class: int = 400, width: int = 128) -> DataFrame:
+def language_id(docs: DataFrame, folds: int = 4, held_fold: int = 2, per_class: int = 400, width: int = 128, windows_a_text: int = 8) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of `docs`.
 
-    The network learns from at most `per_class` documents of each language (of these, eight windows
-    spread over the text) outside the held-out fold; it is applied to whole texts. Null texts and texts
+    The network learns from at most `per_class` documents of each language, and `windows_a_text` windows
+    spread over each of their texts, outside the held-out fold; it is applied to whole texts of any length.
+    Between languages of equal score the first by name is taken. Null texts and texts
     without a letter are `und` with score 0, and so is all if there is nothing to learn from. Rows of null
     lang are predicted but not learnt from. Repeated rows are predicted each; an empty table gives no rows.
     """
-    langs, net = train(sampled(docs, folds, held_fold, per_class, width), width)
+    langs, net = train(sampled(docs, folds, held_fold, per_class, width, windows_a_text), width)
 
     def run(batches):
         names = np.array([*langs, "und"])

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T, wordbpe
-from .common import documents, stored
+from .common import documents, partitions, stored
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 #: Pieces packed together in one task: enough for tight windows, few enough for any worker's memory.
 PIECES_A_TASK = 20_000
+#: Shards, each packed for itself, that share a task where there are many; pieces that carry their ids have one a task.
+SHARDS_A_TASK = 32
 
 
 class Windows:
@@ -122,4 +124,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
         t = t.drop_columns(["shard"]).take(pa.array(order)).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
         yield from t.cast(schema).to_batches(max_chunksize=10_000)
 
-    return dealt.repartitionById(shards, "shard").mapInArrow(run, PIECE_DDL + ", sequence_id long, offset long")
+    tasks = shards if with_ids or shards <= SHARDS_A_TASK * partitions(docs.sparkSession) else -(-shards // SHARDS_A_TASK)
+    return dealt.repartitionById(tasks, F.col("shard") % tasks).mapInArrow(run, PIECE_DDL + ", sequence_id long, offset long")

@@ -106,7 +106,7 @@ def _examples(base: DataFrame, labels: DataFrame, folds: int, held_fold: int, pe
             x = features(*T.utf8(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "draw", "x"])
 
-    rows = base.join(pick, "doc_id").select("doc_id", "text", "quality", "draw").mapInArrow(run, "doc_id long, quality int, draw double, x binary").collect()
+    rows = base.join(pick, "doc_id").select("doc_id", "text", "quality", "draw").mapInArrow(run, "doc_id long, quality int, draw double, x binary").groupBy("doc_id", "quality", "draw").agg(F.min("x").alias("x")).collect()
     out, used = [], {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"], r["quality"], bytes(r["x"]))):
         used[r["quality"]] = used.get(r["quality"], 0) + 1
@@ -116,13 +116,24 @@ def _examples(base: DataFrame, labels: DataFrame, folds: int, held_fold: int, pe
     return x, np.array([r["quality"] for r in out], int), counts
 
 
+def votes(cos: np.ndarray, k: int) -> np.ndarray:
+    """Each row's votes: the eighth power of its k greatest cosines, and of all that equal the last of them; 0 for others."""
+    last = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+    w = np.where(cos >= last, np.maximum(cos, np.float32(1e-3)), np.float32(0))
+    for _ in range(3):
+        w *= w
+    return w
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, per_class: int = 1500, rank: int = 48, neighbours: int = 15, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of `docs`.
 
     At most per_class labelled documents of either label, outside the held-out fold, are the neighbours;
     votes are weighted back to the labels' own shares. Null and empty texts are scored like others, by
-    their measures. Without any label the score is 0.5. Rows that repeat a doc_id are scored each;
-    labels of null doc_id or quality are passed over. An empty table gives no rows.
+    their measures. Without any label the score is 0.5. Rows that repeat a doc_id are scored each, and
+    one of them is a neighbour if it is labelled; labels of null doc_id or quality are passed over. All
+    neighbours that tie with the last one vote. Texts of any length are read whole. An empty table gives
+    no rows.
     """
     base = documents(docs)
     n_docs, df = _frequencies(base)
@@ -150,9 +161,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold
             out = []
             for i in range(0, len(v), 512):
                 cos = v[i : i + 512] @ latent.T
-                top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-                w = np.maximum(np.take_along_axis(cos, top, 1), 1e-6) ** 8 * weight[top]
-                out.append((w * label[top]).sum(1) / w.sum(1))
+                w = votes(cos, k)
+                out.append((w @ (weight * label)) / (w @ weight))
             score = np.clip(np.concatenate(out).astype(np.float64), 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 

@@ -145,14 +145,15 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), texts: bool = True) -
         for b in T.slices(batches, limit=1 << 20):
             yield judge(b, rules, texts)
 
-    return documents(docs).mapInArrow(run, DDL.replace("clean_text string", "clean_text string"))
+    return documents(docs).mapInArrow(run, DDL)
 
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with their cleaned text and its length; all columns of `docs` kept.
 
-    The text travels with its row, so no join is needed. An n_chars column, if there, is recounted
-    for texts that changed.
+    The text travels with its row, so no join is needed. An n_chars column, if there, is the
+    length of the text that stays. Null, empty and long texts, repeated rows and empty tables are as in
+    `quality_rules`; other columns come through untouched, under any name.
     """
     schema = docs.schema
     at = schema.fieldNames().index("text")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, langid, line_dedup, lm_scoring, packing, quality_knn, quality_rules, simhash, suffix_dedup, token_counts
@@ -11,10 +9,10 @@ from .common import table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    """Path of a public tokenizer's file; EVENTLOOM_VOCABULARY names another."""
+    """Path of a public tokenizer's file."""
     import public_tokenizers
 
-    return os.environ.get("EVENTLOOM_VOCABULARY") or public_tokenizers.path(name)
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
