@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from eventloom.llm import line_dedup, simhash, suffix_array
+from eventloom.llm import decontamination, langid, line_dedup, packing, quality_knn, quality_rules, shingles, simhash, suffix_array
 
 
 def bucket_of(texts, min_words, ids=None):
@@ -115,3 +116,143 @@ def test_pairs_are_tallied_over_posting_lists(spark):
         assert any(n < math.comb(5, size) for n in want.values())
     links = {(x.a, x.b) for x in simhash.links(df).collect()}
     assert links == {tuple(sorted((signed(x), signed(y)))) for x, y in itertools.combinations(fps, 2) if (x ^ y).bit_count() <= 3}
+
+
+def test_paraphrases_are_found(spark):
+    """Items with a share of their words replaced at random, planted in real text: recall 0.9 or more up to a quarter."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(x.item_id, x.text.split()) for x in bench.collect()]
+    pool = [w for x in docs.orderBy("doc_id").limit(300).collect() for w in (x.text or "").split()]
+    r, rows, truth = random.Random(3), [], {}
+    for share in (0, 0.1, 0.2, 0.25):
+        for i, w in items:
+            c = list(w)
+            for j in r.sample(range(len(c)), round(share * len(c))):
+                c[j] = r.choice(pool)
+            a, d = r.randrange(len(pool) - 400), 10**7 + len(rows)
+            rows.append((d, " ".join(pool[a : a + r.randrange(150)] + c + pool[a + 200 : a + 200 + r.randrange(150)])))
+            truth[d] = share, i
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(x.doc_id, x.item_id): x for x in decontamination.leaks(every, bench).collect()}
+    found = {}
+    for d, (share, i) in truth.items():
+        found.setdefault(share, []).append((d, i) in got)
+    recall = {s: sum(x) / len(x) for s, x in found.items()}
+    assert recall[0] == 1 and recall[0.1] == 1 and recall[0.2] >= 0.9 and recall[0.25] >= 0.9, recall
+    assert not [x for (d, _), x in got.items() if d < 10**7 and x.lcs < 0.9 * x.item_words]  # nothing by chance
+
+
+def test_leaks_of_awkward_rows(spark):
+    r = random.Random(9)
+    item = " ".join(f"q{r.randrange(10**6)}" for _ in range(30))
+    filler = " ".join(f"f{r.randrange(900)}" for _ in range(40_000))
+    rows = [(1, f"{filler} {item} {filler}"), (2, item), (2, item), (3, item.upper()), (4, None), (5, ""), (None, item), (6, filler), (7, f"{item} {filler} {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("gone_id", "item_id", "cosine", "_leaking_id")})
+    bench = spark.createDataFrame([(10, item), (10, item), (11, None), (12, ""), (None, item)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {(d, i) for d in (1, 2, 3, 7, None) for i in (10, None)}
+    assert got[1, 10].first_word == 40_000 and got[7, 10].first_word == 0 and all(x.lcs == 30 for x in got.values())
+    left = decontamination.clean(docs, bench)
+    assert left.columns == docs.columns and sorted(str(x.doc_id) for x in left.collect()) == ["4", "5", "6", "None"]
+
+
+def test_near_dedup_stages_keep_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "a"), (2, text, None), (None, text, "b"), (3, None, "c"), (4, "", "d")], "doc_id long, text string, _dropped_id string").withColumns({"gone_id": F.lit(2), "gone_id_1": F.lit(None).cast("int")})
+    for stage in (simhash.keep_first, shingles.keep_first):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert sorted(str(x.doc_id) for x in out.collect()) == ["1", "3", "None"]  # empty texts are copies too
+        assert stage(df.limit(0)).count() == 0
+
+
+def test_network_gradients_are_those_of_differences():
+    r = np.random.default_rng(2)
+    net = langid.ByteCnn(3, width=24, filters=4, dims=3)
+    net.p = {k: (v + r.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in net.p.items()}
+    x, y = r.integers(0, 256, (5, 24)).astype(np.uint8), r.integers(0, 3, 5)
+    _, g = net.step(x, y)
+    for name, grad in g.items():
+        flat = net.p[name].reshape(-1)
+        picks = np.argsort(-np.abs(grad).reshape(-1))[:6]
+        for i in picks:
+            old, e = flat[i], 1e-6
+            flat[i] = old + e
+            up, _ = net.step(x, y)
+            flat[i] = old - e
+            down, _ = net.step(x, y)
+            flat[i] = old
+            assert abs((up - down) / (2 * e) - grad.reshape(-1)[i]) < 1e-4, name
+
+
+def test_network_tables_equal_a_plain_convolution():
+    r = np.random.default_rng(4)
+    net = langid.ByteCnn(3, width=20, filters=5, dims=4)
+    net.p["V"] = r.normal(size=net.p["V"].shape).astype(np.float32)
+    x = r.integers(0, 256, (7, 20)).astype(np.uint8)
+    want = []
+    for row in x:
+        pooled = []
+        for w in net.sizes:
+            for f in range(5):
+                pooled.append(max(float(sum(net.p["E"][row[i + j]] @ net.p[f"W{w}"][4 * j : 4 * j + 4, f] for j in range(w))) for i in range(20 - w + 1)) + net.p[f"b{w}"][f])
+        z = np.maximum(pooled, 0) @ net.p["V"] + net.p["c"]
+        want.append(np.exp(z) / np.exp(z).sum())
+    assert np.allclose(langid.predict(net.tables(), x), want, atol=1e-4)
+
+
+def test_votes_are_of_all_nearest_and_ties():
+    r = random.Random(10)
+    cos = np.array([[r.choice([0.9, 0.5, 0.25, -0.3, 0.1]) for _ in range(12)] for _ in range(40)], np.float32)
+    for k in (1, 3, 12):
+        got = quality_knn.votes(cos, k)
+        for row, w in zip(cos.tolist(), got.tolist()):
+            last = sorted(row, reverse=True)[k - 1]
+            assert np.allclose(w, [max(c, 1e-3) ** 8 if c >= last else 0 for c in row], rtol=1e-4)
+
+
+def test_packing_is_best_fit_decreasing():
+    """Against a plain search for the tightest window, piece by piece."""
+    r = random.Random(11)
+    sizes = sorted((r.randrange(1, 101) for _ in range(400)), reverse=True)
+    windows, used = packing.Windows(100), []
+    for s in sizes:
+        w, at = windows.put(s)
+        fit = [100 - u for u in used if 100 - u >= s]
+        if fit:
+            assert 100 - used[w] == min(fit) and at == used[w]
+            used[w] += s
+        else:
+            assert w == len(used) and at == 0
+            used.append(s)
+    assert sum(used) == sum(sizes) and len(used) <= 11 * -(-sum(sizes) // 100) / 9 + 1
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    """Every line judged by hand-written rules, over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rules = quality_rules.Rules()
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    ends = (*".!?:;\"')]", "…", "”", "»", "。")
+    want = {}
+    for x in docs.collect():
+        lost, gone, n = 0, 0, 0
+        for line in (x.text or "").split("\n"):
+            w = word.findall(line)
+            n += len(w)
+            if not w:
+                continue
+            symbols, low = sum(line.count(c) for c in "#*$%&|<>"), re.sub("[A-Z]", lambda m: m[0].lower(), line)
+            bad = not w[-1].endswith(ends) and (len(w) < rules.short_line or not any(c in line for c in ".!?;:,"))
+            bad |= symbols > rules.symbols_per_word * len(w) or any(p.decode() in low for p in quality_rules.BOILERPLATE)
+            gone += bad
+            lost += len(w) * bad
+        want[x.doc_id] = gone, lost, n
+    seen = set()
+    for x in quality_rules.quality_rules(docs, texts=False).collect():
+        gone, lost, n = want[x.doc_id]
+        assert (x.n_lines_removed, x.lost_words, x.n_words) == (gone, lost, n)
+        assert x.kept == (not x.base_failed and lost <= rules.max_lost * n)
+        seen.add((x.base_failed, x.kept))
+    assert len(seen) >= 2
