@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from . import exchange as X, textops as T
 
 END, START = np.uint64(0x9D5B_17F3_0C21_A6E1), np.uint64(0x3E8C_55D2_914B_7F07)
-BITS = {1: 64, 2: 54, 3: 54}
+BITS = {1: 64, 2: 48, 3: 48}
 #: Counts are summed up in bins, by powers of two, to fit K2 and K3.
 BINS = 48
 STRETCH = 256
@@ -267,7 +267,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, bucket_bytes: int = 8
     Documents whose crc32(doc_id as text) leaves `fold` modulo `folds` are held out of training. Null
     and empty texts have one token, the end; texts of any length are read whole. A null doc_id counts as
     the empty text for the fold. Repeated rows count and are scored each. Other columns are not looked at.
-    An empty table gives no rows. N-grams are told apart by hashes of 54 bits or more.
+    An empty table gives no rows. N-grams are told apart by hashes of 48 bits or more.
     """
     base, size = X.bucketed(docs, bucket_bytes)
     shards, n_buckets = X.shard_count(docs, size), X.bucket_count(docs.sparkSession, size, bucket_bytes)
