@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import join_hot, stored
 
+#: Links that one task contracts at most; the number of tasks follows.
+LINKS_A_TASK = 250_000
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -49,10 +51,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates star operations on a table in the shared folder until nothing changes. Each round
     joins on a node's current smallest neighbour, found by a combining aggregate; the few nodes of
-    many neighbours are broadcast, so that none has its neighbours gathered in one place. An empty table gives an empty result.
+    many neighbours are broadcast, so that none has its neighbours gathered in one place. Links that
+    fit one task's bound need no rounds. An empty table gives an empty result.
     """
     now = stored(edges.select("a", "b").mapInArrow(contract, "a long, b long"), "links")
     total = now.count()
+    if total <= LINKS_A_TASK:  # one contraction is the answer
+        return now.coalesce(1).mapInArrow(contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -60,7 +65,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # each neighbour, and the node itself, is linked to the node's smallest
         linked = join_hot(both, least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         linked = linked.unionByName(least.select("a", F.col("m").alias("b")))
-        new = stored(linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(contract, "a long, b long").distinct(), "links")
+        new = stored(linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(-(-total // LINKS_A_TASK)).mapInArrow(contract, "a long, b long").distinct(), "links")
         state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         now, total = new, state["n"]
         if before == state:

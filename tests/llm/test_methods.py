@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontamination, langid, line_dedup, packing, quality_knn, quality_rules, shingles, simhash, suffix_array
+from eventloom.llm import decontamination, graph, langid, line_dedup, packing, quality_knn, quality_rules, shingles, simhash, suffix_array
 
 
 def bucket_of(texts, min_words, ids=None):
@@ -256,3 +256,25 @@ def test_quality_verdict_equals_brute_force(spark):
         assert x.kept == (not x.base_failed and lost <= rules.max_lost * n)
         seen.add((x.base_failed, x.kept))
     assert len(seen) >= 2
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Rounds of star operations, with so small a bound that every task has but a few links."""
+    r = random.Random(12)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 41] + [(1000, 1000 + i) for i in range(1, 400)] + [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(260)]
+    edges = [(b, a) if r.random() < 0.5 else (a, b) for a, b in edges if a != b]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for bound in (100, 250_000):
+        monkeypatch.setattr(graph, "LINKS_A_TASK", bound)
+        got = {x.node: x.root for x in graph.components(df).collect()}
+        assert all(got.get(n, n) == find(n) for n in root)
