@@ -30,8 +30,8 @@ def edges(log: DataFrame) -> DataFrame:
 
 def variants(log: DataFrame) -> DataFrame:
     t = traces(log.withColumn("case_id", F.struct("log", "case_id")))
-    n = t.groupBy(F.col("case_id.log").alias("log"), F.concat_ws(",", "trace").alias("variant")).agg(F.count("*").alias("n"))
-    return _both(n, ["variant"])
+    n = t.groupBy(F.col("case_id.log").alias("log"), "trace").agg(F.count("*").alias("n"))
+    return _both(n, ["trace"]).select(F.concat_ws(",", "trace").alias("variant"), "original", "simulated")
 
 
 def durations(log: DataFrame) -> DataFrame:

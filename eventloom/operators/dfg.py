@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..log import case_order
 
@@ -21,9 +21,19 @@ def once_per_case(log: DataFrame) -> DataFrame:
     return pairs(log).groupBy("source", "target").agg(F.count_distinct("case_id").alias("cases"))
 
 
+def spread(us: Column) -> dict[str, Column]:
+    """Mean, median, extremes, sum and deviation in seconds of whole microseconds: sums are exact, so no order of rows changes them."""
+    n, total, squares = F.count(us), F.sum(us), F.sum(us.cast("decimal(20,0)") * us.cast("decimal(18,0)"))
+    s = total.cast("double")
+    variance = F.when(n > 1, (squares.cast("double") - s * s / n) / (n - 1))
+    return {"mean_s": s / n / 1e6, "median_s": F.percentile(us, 0.5) / 1e6, "min_s": F.min(us) / 1e6, "max_s": F.max(us) / 1e6, "sum_s": s / 1e6, "stdev_s": F.round(F.sqrt(F.greatest(variance, F.lit(0.0))) / 1e6, 3)}
+
+
 def performance(log: DataFrame) -> DataFrame:
-    g = F.col("gap_s")
-    return pairs(log).groupBy("source", "target").agg(*(F.round(c, 4).alias(n) for n, c in {"mean_s": F.avg(g), "median_s": F.percentile(g, 0.5), "min_s": F.min(g), "max_s": F.max(g), "sum_s": F.sum(g), "stdev_s": F.stddev_samp(g)}.items()))
+    """Directly-follows pairs with the spread of their gaps in seconds; no deviation for a single pair."""
+    at = F.lead("us").over(case_order()) - F.col("us")
+    p = log.select(F.col("activity").alias("source"), F.lead("activity").over(case_order()).alias("target"), at.alias("gap_us")).where("target is not null")
+    return p.groupBy("source", "target").agg(*(c.alias(k) for k, c in spread(F.col("gap_us")).items()))
 
 
 def cost(log: DataFrame) -> DataFrame:
@@ -48,7 +58,16 @@ def eventually_follows(log: DataFrame) -> DataFrame:
 
 
 def dependency(log: DataFrame) -> DataFrame:
-    """The heuristics miner's measure, (|a>b| - |b>a|) / (|a>b| + |b>a| + 1); |a>a| / (|a>a| + 1) for loops."""
+    """The causal measure (|a>b| - |b>a|) / (|a>b| + |b>a| + 1) of each pair that follows either way, in both directions; loops have 0."""
+    f = frequency(log)
+    back = f.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(0).cast("long").alias("there"), F.col("frequency").alias("back"))
+    both = f.select("source", "target", F.col("frequency").alias("there"), F.lit(0).cast("long").alias("back")).unionByName(back)
+    n = both.groupBy("source", "target").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+    return n.select("source", "target", F.round((F.col("there") - F.col("back")) / (F.col("there") + F.col("back") + 1), 6).alias("dependency"))
+
+
+def heuristics_dependency(log: DataFrame) -> DataFrame:
+    """The heuristics net's measure of each edge: as `dependency`, but |a>a| / (|a>a| + 1) for loops."""
     f = frequency(log)
     r = f.select(F.col("source").alias("target"), F.col("target").alias("source"), F.col("frequency").alias("back"))
     ab, ba = F.col("frequency"), F.coalesce("back", F.lit(0))
@@ -75,7 +94,10 @@ def min_self_distance(log: DataFrame) -> DataFrame:
 
 
 def noise_filtered(log: DataFrame, share: float = 0.2) -> DataFrame:
-    """Edges of at least `share` of the most frequent edge out of their source."""
+    """Edges of at least `share` of the strongest edge, in or out, of that one of their ends whose strongest is weaker."""
     f = frequency(log)
-    w = Window.partitionBy("source")
-    return f.withColumn("most", F.max("frequency").over(w)).where(F.col("frequency") >= share * F.col("most")).select("source", "target", "frequency")
+    ends = f.select(F.col("source").alias("act"), "frequency").unionByName(f.select(F.col("target").alias("act"), "frequency"))
+    most = ends.groupBy("act").agg(F.max("frequency").alias("most"))
+    of = lambda end: most.select(F.col("act").alias(end), F.col("most").alias(f"most_{end}"))
+    least = F.least("most_source", "most_target") * share
+    return f.join(of("source"), "source").join(of("target"), "target").where(F.col("frequency") >= least).select("source", "target", "frequency")

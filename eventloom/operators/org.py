@@ -36,7 +36,8 @@ def similar_activities(log: DataFrame) -> DataFrame:
     dot = x.join(y, "activity").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
     A, B = own.select(F.col("resource").alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), own.select(F.col("resource").alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
     n = F.lit(acts)
-    r = (n * F.col("p") - F.col("sa") * F.col("sb")) / (F.sqrt(n * F.col("qa") - F.col("sa") ** 2) * F.sqrt(n * F.col("qb") - F.col("sb") ** 2))
+    spread = F.sqrt(n * F.col("qa") - F.col("sa") ** 2) * F.sqrt(n * F.col("qb") - F.col("sb") ** 2)
+    r = (n * F.col("p") - F.col("sa") * F.col("sb")) / F.nullif(spread, F.lit(0.0))  # null for a resource equally busy everywhere
     pairs = A.crossJoin(B).where("a < b").join(dot, ["a", "b"], "left").withColumn("p", F.coalesce("p", F.lit(0)))  # no common activity: 0
     return pairs.select("a", "b", F.round(r, 6).alias("similarity"))
 

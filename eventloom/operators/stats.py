@@ -28,10 +28,19 @@ def attribute_values(log: DataFrame, column: str, per_case: bool = False) -> Dat
     return log.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(n.alias("n"))
 
 
+#: Values of each unit of time that are given even if no event has them.
+UNITS = {"hour": (0, 23), "weekday": (0, 6), "day": (1, 31), "week": (0, 52), "month": (1, 12)}
+
+
 def distribution(log: DataFrame, unit: str) -> DataFrame:
+    """Events by a unit of time, Monday being weekday 0; values without events have 0, as have years between the first and the last."""
     ts = F.timestamp_micros("us")
-    part = {"hour": F.hour(ts), "weekday": F.weekday(ts), "day": F.dayofmonth(ts), "week": F.weekofyear(ts), "month": F.month(ts)}[unit]
-    return log.groupBy(part.cast("long").alias(unit)).agg(F.count("*").alias("n"))
+    part = {"hour": F.hour(ts), "weekday": F.weekday(ts), "day": F.dayofmonth(ts), "week": F.weekofyear(ts), "month": F.month(ts), "year": F.year(ts)}[unit]
+    found = log.groupBy(part.cast("long").alias(unit)).agg(F.count("*").alias("n"))
+    low, high = (F.lit(v).cast("long") for v in UNITS[unit]) if unit in UNITS else (F.min(unit), F.max(unit))
+    ends = found.agg(F.min(unit).alias("lo"), F.max(unit).alias("hi")) if unit not in UNITS else None
+    every = log.sparkSession.range(1).select(F.explode(F.sequence(low, high)).alias(unit)) if ends is None else ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(unit))
+    return found.unionByName(every.withColumn("n", F.lit(0).cast("long"))).groupBy(unit).agg(F.sum("n").alias("n"))
 
 
 def gaps(log: DataFrame, end: bool = False) -> DataFrame:
@@ -44,9 +53,9 @@ def gaps(log: DataFrame, end: bool = False) -> DataFrame:
 
 
 def arrival_average(log: DataFrame, end: bool = False) -> DataFrame:
-    """Mean gap between case starts (or ends): from the extremes and the count, no ordering needed."""
+    """Mean gap between case starts (or ends): from the extremes and the count, no ordering needed; null for a single case."""
     at = F.col("end_us" if end else "start_us")
-    return cases(log).agg(F.round((F.max(at) - F.min(at)) / 1e6 / (F.count("*") - 1), 4).alias("average_s"))
+    return cases(log).agg(F.round((F.max(at) - F.min(at)) / 1e6 / F.nullif(F.count("*") - 1, F.lit(0)), 4).alias("average_s"))
 
 
 def rework_per_activity(log: DataFrame) -> DataFrame:
@@ -61,7 +70,8 @@ def rework_per_case(log: DataFrame) -> DataFrame:
 def variant_durations(log: DataFrame) -> DataFrame:
     d = traces(log).join(cases(log), "case_id")
     s = (F.col("end_us") - F.col("start_us")) / 1e6
-    return d.groupBy(F.concat_ws(",", "trace").alias("variant")).agg(F.count("*").alias("n"), F.round(F.avg(s), 4).alias("mean_s"))
+    by = d.groupBy("trace").agg(F.count("*").alias("n"), F.round(F.avg(s), 4).alias("mean_s"))
+    return by.select(F.concat_ws(",", "trace").alias("variant"), "n", "mean_s")
 
 
 def top_variants(log: DataFrame, k: int) -> DataFrame:

@@ -41,12 +41,14 @@ def in_cases(where: str) -> str:
 add("dfg_frequency", on_log(dfg.frequency), LOG + "select activity source, nxt target, count(*) frequency from seq where nxt is not null group by 1, 2")
 add("dfg_window2", on_log(lambda l: dfg.frequency(l, 2)), LOG + "select activity source, nxt2 target, count(*) frequency from seq where nxt2 is not null group by 1, 2")
 add("dfg_once_per_case", on_log(dfg.once_per_case), LOG + "select activity source, nxt target, count(distinct case_id) cases from seq where nxt is not null group by 1, 2")
-add("dfg_performance", on_log(dfg.performance), LOG + "select activity source, nxt target, round(avg(gap), 4) mean_s, round(quantile_cont(gap, 0.5), 4) median_s, round(min(gap), 4) min_s, round(max(gap), 4) max_s, round(sum(gap), 4) sum_s, round(stddev_samp(gap), 4) stdev_s from seq where nxt is not null group by 1, 2")
+add("dfg_performance", on_log(dfg.performance), LOG + ", g as (select activity source, nxt target, lead(us) over (partition by case_id order by us, event_idx) - us g from seq), t as (select source, target, count(*) n, cast(sum(g) as double) s, cast(sum(cast(g as hugeint) * g) as double) q, quantile_cont(g, 0.5) / 1e6 median_s, min(g) / 1e6 min_s, max(g) / 1e6 max_s from g where target is not null group by 1, 2) select source, target, s / n / 1e6 mean_s, median_s, min_s, max_s, s / 1e6 sum_s, case when n > 1 then round(sqrt(greatest((q - s * s / n) / (n - 1), 0)) / 1e6, 3) end stdev_s from t")
 add("dfg_cost", on_log(dfg.cost), LOG + "select activity source, nxt target, round(sum(cost), 4) as cost from seq where nxt is not null group by 1, 2")
-add("dfg_noise_filtered", on_log(dfg.noise_filtered), LOG + ", f as (select activity source, nxt target, count(*) frequency from seq where nxt is not null group by 1, 2) select * from (select source, target, frequency from f qualify frequency >= 0.2 * max(frequency) over (partition by source))")
+add("dfg_noise_filtered", on_log(dfg.noise_filtered), LOG + ", f as (select activity source, nxt target, count(*) frequency from seq where nxt is not null group by 1, 2), m as (select act, max(frequency) most from (select source act, frequency from f union all select target, frequency from f) group by 1) select source, target, frequency from f join m x on x.act = source join m y on y.act = target where frequency >= 0.2 * least(x.most, y.most)")
 add("freq_triples", on_log(dfg.triples), LOG + "select activity a, nxt b, nxt2 c, count(*) n from seq where nxt2 is not null group by 1, 2, 3")
 add("eventually_follows", on_log(dfg.eventually_follows), LOG + "select x.activity source, y.activity target, count(*) frequency from seq x join seq y on x.case_id = y.case_id and x.pos < y.pos group by 1, 2")
-add("causal_heuristic", on_log(dfg.dependency), LOG + ", f as (select activity s, nxt t, count(*) n from seq where nxt is not null group by 1, 2) select f.s source, f.t target, round(case when f.s = f.t then f.n / (f.n + 1) else (f.n - coalesce(g.n, 0)) / (f.n + coalesce(g.n, 0) + 1) end, 6) dependency from f left join f g on g.s = f.t and g.t = f.s")
+EDGES = LOG + ", f as (select activity s, nxt t, count(*) n from seq where nxt is not null group by 1, 2) "
+add("causal_heuristic", on_log(dfg.dependency), EDGES + ", p as (select s, t from f union select t, s from f) select p.s source, p.t target, round((coalesce(f.n, 0) - coalesce(g.n, 0)) / (coalesce(f.n, 0) + coalesce(g.n, 0) + 1), 6) dependency from p left join f on f.s = p.s and f.t = p.t left join f g on g.s = p.t and g.t = p.s")
+add("heuristics_net_dependency", on_log(dfg.heuristics_dependency), EDGES + "select f.s source, f.t target, round(case when f.s = f.t then f.n / (f.n + 1) else (f.n - coalesce(g.n, 0)) / (f.n + coalesce(g.n, 0) + 1) end, 6) dependency from f left join f g on g.s = f.t and g.t = f.s")
 add("causal_alpha", on_log(dfg.causal_alpha), LOG + ", f as (select distinct activity source, nxt target from seq where nxt is not null) select * from f where not exists (select 1 from f g where g.source = f.target and g.target = f.source)")
 add("footprints", on_log(dfg.footprints), LOG + ", f as (select distinct activity source, nxt target from seq where nxt is not null) select source, target, case when exists (select 1 from f g where g.source = f.target and g.target = f.source) then '||' else '->' end relation from f")
 add("min_self_distance", on_log(dfg.min_self_distance), LOG + "select activity, min(d) distance from (select activity, lead(pos) over (partition by case_id, activity order by pos) - pos - 1 d from seq) where d is not null group by 1")
@@ -54,8 +56,10 @@ add("start_activities", on_log(stats.endpoints), LOG + "select activity, count(*
 add("end_activities", on_log(lambda l: stats.endpoints(l, True)), LOG + "select activity, count(*) n from seq where nxt is null group by 1")
 add("attribute_values", on_log(lambda l: stats.attribute_values(l, "resource")), LOG + "select resource as value, count(*) n from log where resource is not null group by 1")
 add("attribute_values_once_per_case", on_log(lambda l: stats.attribute_values(l, "activity", True)), LOG + "select activity as value, count(distinct case_id) n from log group by 1")
-for unit, part in {"hour": "hour", "weekday": "isodow", "day": "day", "week": "week", "month": "month"}.items():
-    add(f"events_distribution_{unit}", on_log(lambda l, u=unit: stats.distribution(l, u)), LOG + f"select cast(extract({part} from make_timestamp(us)) as bigint){' - 1' if unit == 'weekday' else ''} as {unit}, count(*) n from log group by 1")
+for unit, part in {"hour": "hour", "weekday": "isodow", "day": "day", "week": "week", "month": "month", "year": "year"}.items():
+    low, high = stats.UNITS.get(unit, ("(select year(min(ts)) from events)", "(select year(max(ts)) from events)"))
+    x = f"cast(extract({part} from make_timestamp(us)) as bigint){' - 1' if unit == 'weekday' else ''}"
+    add(f"events_distribution_{unit}", on_log(lambda l, u=unit: stats.distribution(l, u)), LOG + f"select k as {unit}, cast(sum(n) as bigint) n from (select {x} k, 1 n from log union all select unnest(generate_series({low}, {high})), 0) group by 1")
 add("case_durations", on_log(stats.case_durations), LOG + "select case_id, round((e - s) / 1e6, 4) duration_s from cases")
 add("case_size", on_log(filters.summary), LOG + "select case_id, n_events from cases")
 add("case_arrival_average", on_log(stats.arrival_average), LOG + "select round((max(s) - min(s)) / 1e6 / (count(*) - 1), 4) average_s from cases")
@@ -75,7 +79,7 @@ add("filter_end", sized(lambda l: filters.end(l, ["purchase"], False)), SIZES.fo
 add("filter_attr_events", sized(lambda l: filters.events(l, "resource", ["R1", "R2"])), SIZES.format("resource in ('R1', 'R2')"))
 add("filter_attr_events_negative", sized(lambda l: filters.events(l, "resource", ["R1", "R2"], False)), SIZES.format("(resource is null or resource not in ('R1', 'R2'))"))
 add("filter_attr_cases", sized(lambda l: filters.attribute_cases(l, "activity", ["purchase"])), in_cases("log where activity = 'purchase'"))
-add("filter_attr_cases_negative", sized(lambda l: filters.attribute_cases(l, "activity", ["error"], False)), SIZES.format("case_id not in (select case_id from log where activity = 'error')"))
+add("filter_attr_cases_negative", sized(lambda l: filters.attribute_cases(l, "resource", ["R1"], False)), SIZES.format("case_id not in (select case_id from log where resource = 'R1')"))
 add("filter_numeric", sized(lambda l: filters.numeric_events(l, "cost", 10, 60)), SIZES.format("cost between 10 and 60"))
 add("filter_relative_occurrence", sized(lambda l: filters.relative_occurrence(l, "resource", ["R1", "R2"], 0.2)), in_cases("log group by case_id having avg(case when resource in ('R1', 'R2') then 1.0 else 0.0 end) >= 0.2"))
 add("filter_variants_top_k", sized(lambda l: filters.variants_top_k(l, 20)), in_cases(f"tr where variant in (select variant from {VS} order by n desc, variant desc limit 20)"))
@@ -101,8 +105,9 @@ add("resource_similarity", on_log(org.similar_activities), LOG + ", m as (select
 add("resource_profile", on_log(org.profile), LOG + "select resource, count(*) as events, count(distinct activity) activities, count(distinct case_id) cases, count(distinct us // 86400000000) as days from log where resource is not null group by 1")
 add("log_skeleton", on_log(relations.skeleton), PER + "select a, b, count(*) cases, count(*) filter (na = nb) equivalence, count(*) filter (la < lb) always_after, count(*) filter (fb < fa) always_before, count(*) filter (nb is null) never_together from pr group by 1, 2")
 add("declare_support", on_log(relations.declare), PER + "select a, b, count(*) filter (la < lb) response, count(*) filter (fa < fb) as precedence, count(*) filter (la < lb and fa < fb) succession, count(*) filter (nb is not null) coexistence from pr group by 1, 2")
-add("temporal_profile", on_log(relations.temporal_profile), LOG + "select activity a, nxt b, round(avg(gap), 4) mean_s, round(coalesce(stddev_samp(gap), 0), 4) std_s from seq where nxt is not null group by 1, 2")
-add("temporal_deviations", on_log(relations.temporal_deviations), LOG + ", p as (select activity a, nxt b, avg(gap) m, stddev_samp(gap) sd from seq where nxt is not null group by 1, 2) select a, b, count(*) deviations from seq join p on a = activity and b = nxt where abs(gap - m) > 2 * sd group by 1, 2")
+LATER = LOG + ", g as (select x.activity a, y.activity b, y.us - x.us g from seq x join seq y on x.case_id = y.case_id and x.pos < y.pos), t as (select a, b, count(*) n, cast(sum(g) as double) s, cast(sum(cast(g as hugeint) * g) as double) q from g group by 1, 2), tp as (select a, b, s / n / 1e6 mean_s, case when n > 1 then round(sqrt(greatest((q - s * s / n) / (n - 1), 0)) / 1e6, 3) else 0 end std_s from t) "
+add("temporal_profile", on_log(relations.temporal_profile), LATER + "select * from tp")
+add("temporal_deviations", on_log(lambda l: relations.temporal_deviations(l, relations.temporal_profile(l))), LATER + "select a, b, count(*) deviations from g join tp using (a, b) where abs(g / 1e6 - mean_s) > 2 * std_s group by 1, 2")
 add("prediction_targets", on_log(relations.targets), LOG + "select case_id, event_idx, activity, nxt next_activity, round(gap, 6) next_s, round((max(us) over (partition by case_id) - us) / 1e6, 6) remaining_s from seq")
 add("transition_system", on_log(relations.prefix_states), LOG + ", x as (select activity, prv, lag(activity, 2) over (partition by case_id order by us, event_idx) prv2 from seq) select concat_ws(',', prv2, prv) state, activity, concat_ws(',', prv, activity) next_state, count(*) n from x group by 1, 2, 3")
 MARKED = LOG.replace("with log as (select", "with log as (select case when user_id % 2 = 0 then 'original' else 'simulated' end lg,")
