@@ -30,6 +30,16 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type", "ts", "event_id", resource=F.concat(F.lit("R"), k.cast("string")), cost="value")
 
 
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders and lineitem tables as a log of short cases: an order is placed, its lines are shipped."""
+    o, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    who = lambda mark, key, n: F.concat(F.lit(mark), (F.col(key) % n).cast("string"))
+    line = F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey")  # line numbers may repeat
+    o, li = o.withColumns({"act": F.lit("place"), "line": F.lit(0)}), li.withColumns({"act": F.concat(F.lit("ship "), F.col("l_returnflag")), "line": line})
+    placed = normalize(o, "o_orderkey", "act", "o_orderdate", "line", resource=who("C", "o_custkey", 5), cost="o_totalprice")
+    return placed.unionByName(normalize(li, "l_orderkey", "act", "l_shipdate", "line", resource=who("S", "l_suppkey", 7), cost="l_extendedprice"))
+
+
 def traces(log: DataFrame) -> DataFrame:
     """(case_id, trace): the activities of each case, in order."""
     rows = F.array_sort(F.collect_list(F.struct("us", "event_idx", "activity")))

@@ -75,8 +75,9 @@ def heuristics_dependency(log: DataFrame) -> DataFrame:
     return f.join(r, ["source", "target"], "left").select("source", "target", F.round(d, 6).alias("dependency"))
 
 
-def causal_alpha(log: DataFrame) -> DataFrame:
-    f = frequency(log).select("source", "target")
+def causal_alpha(log: DataFrame, share: float = 0.0) -> DataFrame:
+    """Pairs that follow one way only, among the edges that `noise_filtered` leaves."""
+    f = noise_filtered(log, share).select("source", "target")
     return f.join(f.select(F.col("source").alias("target"), F.col("target").alias("source")), ["source", "target"], "left_anti")
 
 

@@ -134,3 +134,97 @@ def relative_occurrence(log: DataFrame, column: str, values: list, share: float)
     """Cases at least `share` of whose events have one of the values."""
     hit = F.avg(F.when(F.col(column).isin(values), 1.0).otherwise(0.0)).over(whole_case())
     return log.withColumn("_s", hit).where(F.col("_s") >= share).drop("_s")
+
+
+def variants(log: DataFrame, admitted: list[list[str]], keep: bool = True) -> DataFrame:
+    """Cases whose trace is one of the admitted variants."""
+    found = traces(log).where(F.col("trace").isin([F.array(*map(F.lit, v)) for v in admitted]))
+    return keep_cases(log, found, keep)
+
+
+def variants_by_coverage(log: DataFrame, least: float = 0.0, most: float = 1.0) -> DataFrame:
+    """Cases of the variants that hold a share of all cases between `least` and `most`."""
+    t = traces(log)
+    v = t.groupBy("trace").agg(F.count("*").alias("n"))
+    total = v.agg(F.sum("n").alias("total"))
+    some = v.join(F.broadcast(total)).where((F.col("n") >= least * F.col("total")) & (F.col("n") <= most * F.col("total")))
+    return keep_cases(log, t.join(some, "trace", "left_semi"))
+
+
+def one_case_per_variant(log: DataFrame) -> DataFrame:
+    """The case of the smallest id of each variant."""
+    return keep_cases(log, traces(log).groupBy("trace").agg(F.min("case_id").alias("case_id")))
+
+
+def ends_with(log: DataFrame, suffixes: list[list[str]], keep: bool = True) -> DataFrame:
+    """Cases whose trace ends with one of the suffixes."""
+    ok = F.lit(False)
+    for s in suffixes:
+        long_enough = F.size("trace") >= len(s)
+        ok = ok | (long_enough & (F.slice("trace", F.greatest(F.size("trace") - len(s) + 1, F.lit(1)), F.lit(len(s))) == F.array(*map(F.lit, s))))
+    return keep_cases(log, traces(log).where(ok), keep)
+
+
+def starting_in(log: DataFrame, low_us: int, high_us: int) -> DataFrame:
+    return keep_cases(log, cases(log).where(F.col("start_us").between(low_us, high_us)))
+
+
+def completing_in(log: DataFrame, low_us: int, high_us: int) -> DataFrame:
+    return keep_cases(log, cases(log).where(F.col("end_us").between(low_us, high_us)))
+
+
+def attribute_in(log: DataFrame, column: str, value, low_us: int, high_us: int) -> DataFrame:
+    """Cases with an event of this value in the time span."""
+    return keep_cases(log, log.where((F.col(column) == value) & F.col("us").between(low_us, high_us)))
+
+
+def numeric_cases(log: DataFrame, column: str, low: float, high: float, keep: bool = True) -> DataFrame:
+    """Cases with an event whose value lies between the bounds."""
+    return keep_cases(log, log.where(F.col(column).between(low, high)), keep)
+
+
+def frequent_values(log: DataFrame, column: str, least: int) -> DataFrame:
+    """Events whose value stands in at least `least` events."""
+    n = log.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return log.join(n.select(column), column, "left_semi")
+
+
+def top_values(log: DataFrame, column: str, k: int) -> DataFrame:
+    """Events of the k most frequent values; ties go by value."""
+    n = log.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+    return log.join(F.broadcast(n.select(column)), column, "left_semi")
+
+
+def frequent_ends(log: DataFrame, least: int, last: bool = False) -> DataFrame:
+    """Cases whose first (or last) activity is that of at least `least` cases."""
+    pick = F.max_by if last else F.min_by
+    end = log.groupBy("case_id").agg(pick("activity", F.struct("us", "event_idx")).alias("end"))
+    often = end.groupBy("end").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return keep_cases(log, end.join(often, "end", "left_semi"))
+
+
+def follows_any(log: DataFrame, pairs: list[tuple[str, str]], keep: bool = True) -> DataFrame:
+    """Cases in which one of the pairs follows directly."""
+    step = log.select("case_id", F.col("activity").alias("a"), F.lead("activity").over(case_order()).alias("b"))
+    ok = F.lit(False)
+    for a, b in pairs:
+        ok = ok | ((F.col("a") == a) & (F.col("b") == b))
+    return keep_cases(log, step.where(ok), keep)
+
+
+def next_three(log: DataFrame, a: str, b: str, c: str, keep: bool = True) -> DataFrame:
+    """Cases in which a, b and c follow one another directly."""
+    step = log.select("case_id", "activity", F.lead("activity", 1).over(case_order()).alias("n1"), F.lead("activity", 2).over(case_order()).alias("n2"))
+    return keep_cases(log, step.where((F.col("activity") == a) & (F.col("n1") == b) & (F.col("n2") == c)), keep)
+
+
+def different_resources(log: DataFrame, activity: str, keep: bool = True) -> DataFrame:
+    """Cases in which several resources do the activity."""
+    found = log.where(F.col("activity") == activity).groupBy("case_id").agg(F.count_distinct("resource").alias("k")).where("k > 1")
+    return keep_cases(log, found, keep)
+
+
+def split_at(log: DataFrame, activity: str) -> DataFrame:
+    """A new case begins at each occurrence of the activity: case_id is (case, number from 0)."""
+    begun = F.count_if(F.col("activity") == activity).over(case_order())
+    return log.withColumn("case_id", F.struct("case_id", begun.alias("part")))

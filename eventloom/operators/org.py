@@ -45,3 +45,33 @@ def similar_activities(log: DataFrame) -> DataFrame:
 def profile(log: DataFrame) -> DataFrame:
     """For each resource: events, distinct activities, cases, days worked."""
     return log.where("resource is not null").groupBy("resource").agg(F.count("*").alias("events"), F.count_distinct("activity").alias("activities"), F.count_distinct("case_id").alias("cases"), F.count_distinct(F.floor(F.col("us") / 86_400_000_000)).alias("days"))
+
+
+def working_together_weight(log: DataFrame) -> DataFrame:
+    """Cases that two resources share, both ways, over the number of events of the log."""
+    w = working_together(log)
+    both = w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "cases"))
+    return both.join(F.broadcast(log.agg(F.count("*").alias("total")))).select("a", "b", F.round(F.col("cases") / F.col("total"), 8).alias("weight"))
+
+
+def subcontracting(log: DataFrame, n: int = 2) -> DataFrame:
+    """Handing work over and getting it back n events later, over the cases of the log."""
+    w = case_order()
+    p = log.where("resource is not null").select("case_id", F.col("resource").alias("source"), F.lead("resource", n).over(w).alias("again"), F.array(*(F.lead("resource", i).over(w) for i in range(1, n))).alias("between"))
+    c = p.where("source = again").select("source", F.explode("between").alias("target")).groupBy("source", "target").agg(F.count("*").alias("n"))
+    return c.join(F.broadcast(log.agg(F.count_distinct("case_id").alias("cases")))).select("source", "target", "n", F.round(F.col("n") / F.col("cases"), 8).alias("weight"))
+
+
+def network(log: DataFrame) -> DataFrame:
+    """Edges between resources of successive events, by the activity that hands over: frequency and mean seconds."""
+    w = case_order()
+    p = log.select(F.col("resource").alias("source"), "activity", F.lead("resource").over(w).alias("target"), (F.lead("us").over(w) - F.col("us")).alias("g")).where("source is not null and target is not null")
+    return p.groupBy("source", "target", "activity").agg(F.count("*").alias("n"), (F.sum("g").cast("double") / F.count("*") / 1e6).alias("mean_s"))
+
+
+def distinct_activities(log: DataFrame) -> DataFrame:
+    """For each resource: activities, frequency of the most frequent, share of all events (its fraction), and cases completed by it."""
+    r = log.where("resource is not null").groupBy("resource", "activity").agg(F.count("*").alias("n")).groupBy("resource").agg(F.count("*").alias("activities"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    last = log.groupBy("case_id").agg(F.max_by("resource", F.struct("us", "event_idx")).alias("resource")).groupBy("resource").agg(F.count("*").alias("completed"))
+    total = log.agg(F.count("*").alias("total"))
+    return r.join(last, "resource", "left").join(F.broadcast(total)).select("resource", "activities", "most", F.round(F.col("n") / F.col("total"), 8).alias("fraction"), F.coalesce("completed", F.lit(0)).alias("completed"))

@@ -46,7 +46,7 @@ def temporal_profile(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("case_id", "a").orderBy("us", "event_idx").rowsBetween(Window.unboundedPreceding, -1)
     own = lambda c: F.coalesce(F.sum(F.when(F.col("activity") == F.col("a"), c)).over(w), F.lit(0).cast("decimal(18,0)"))
     now = F.col("t")
-    seen = grid.select("a", F.col("activity").alias("b"), "t", own(F.lit(1).cast("decimal(9,0)")).alias("k"), own(now).alias("s"), own((now * now).cast("decimal(28,0)")).alias("q")).where("k > 0")
+    seen = grid.select("a", F.col("activity").alias("b"), "t", own(F.lit(1).cast("decimal(9,0)")).alias("k"), own(now).alias("s"), own((now * now).cast("decimal(30,0)")).alias("q")).where("k > 0")
     d = lambda c: c.cast("decimal(38,0)")
     sums = seen.groupBy("a", "b").agg(F.sum("k").alias("n"), F.sum(d(F.col("k") * now) - d(F.col("s"))).alias("s"), F.sum(d(F.col("k") * d(now * now)) - 2 * d(d(F.col("s")) * now) + d(F.col("q"))).alias("q"))
     n, s, q = (F.col(c).cast("double") for c in ("n", "s", "q"))

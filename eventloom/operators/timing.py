@@ -65,3 +65,13 @@ def compare_activity_durations(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("case_id").orderBy("us", "event_idx")
     h = split(log).select("log", "activity", ((F.lead("us").over(w) - F.col("us")) / 3.6e9).alias("h")).where("h is not null")
     return h.groupBy("log", "activity").agg(F.round(F.avg("h"), 4).alias("mean_h"), F.round(F.percentile("h", 0.5), 4).alias("median_h"), F.round(F.percentile("h", 0.9), 4).alias("p90_h"))
+
+
+def concurrent(log: DataFrame) -> DataFrame:
+    """Pairs of activities of one case whose intervals meet, by unordered pair of events.
+
+    A case's intervals are compared in its array, where the pairs are counted at once; work grows with a case's square.
+    """
+    rows = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "event_idx", "activity"))).alias("e"))
+    later = rows.select("e", F.posexplode("e").alias("i", "x")).select("x", F.explode(F.filter(F.slice("e", F.col("i") + 2, F.size("e")), lambda y: y["start_us"] <= F.col("x.end_us"))).alias("y"))
+    return later.groupBy(F.least("x.activity", "y.activity").alias("a"), F.greatest("x.activity", "y.activity").alias("b")).agg(F.count("*").alias("n"))

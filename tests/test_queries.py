@@ -16,7 +16,7 @@ def duck():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registry.WITH))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, duck, name):
     run, sql = registry.WITH[name]
     assert oracle.differ(spark, duck, SF, run, sql) is None
