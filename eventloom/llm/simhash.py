@@ -98,7 +98,8 @@ def postings(distinct: DataFrame, masks: list[int]) -> DataFrame:
 
 def tallied(lists: DataFrame) -> DataFrame:
     """(a, b, tally): how many lists each pair shares."""
-    pairs = lists.select("k", "key", F.col("fp").alias("a")).join(lists.select("k", "key", F.col("fp").alias("b")), ["k", "key"]).where("a < b")
+    # merged: a planner that takes postings for as small as their fingerprints would broadcast them
+    pairs = lists.select("k", "key", F.col("fp").alias("a")).hint("merge").join(lists.select("k", "key", F.col("fp").alias("b")), ["k", "key"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("tally"))
 
 
@@ -109,7 +110,7 @@ def _verified(pairs: DataFrame, max_bits: int) -> DataFrame:
 def _lists(keyed: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame]:
     """Postings of lists of several entries: (short lists, long lists). The size is counted before the join, so a hot key costs a row."""
     count = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
-    sized = keyed.join(count, ["k", "key"])
+    sized = keyed.hint("merge").join(count, ["k", "key"])
     return sized.where(F.col("m") <= long_list).select("k", "key", "fp"), sized.where(F.col("m") > long_list).select("k", "key", "fp")
 
 
