@@ -8,8 +8,9 @@ from ..log import case_order
 
 
 def pairs(log: DataFrame, step: int = 1) -> DataFrame:
-    """Each event and the one `step` later in its case: source, target, gap_s."""
-    nxt = log.select("case_id", "cost", F.col("activity").alias("source"), F.lead("activity", step).over(case_order()).alias("target"), ((F.lead("us", step).over(case_order()) - F.col("us")) / 1e6).alias("gap_s"))
+    """Each event and the one `step` later in its case: source, target, gap_s, and cost if the log has it."""
+    own = [c for c in ("case_id", "cost") if c in log.columns]
+    nxt = log.select(*own, F.col("activity").alias("source"), F.lead("activity", step).over(case_order()).alias("target"), ((F.lead("us", step).over(case_order()) - F.col("us")) / 1e6).alias("gap_s"))
     return nxt.where("target is not null")
 
 

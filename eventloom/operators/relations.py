@@ -98,3 +98,45 @@ def declare_alternate(log: DataFrame) -> DataFrame:
     """Support of alternate response, precedence and succession: the plain template, and equal counts."""
     t = lambda c: F.count_if(F.expr(c)).alias
     return _pairs(log).groupBy("a", "b").agg(t("na = nb and la < lb")("alternate_response"), t("na = nb and fa < fb")("alternate_precedence"), t("na = nb and la < lb and fa < fb")("alternate_succession"))
+
+
+def chains(log: DataFrame) -> DataFrame:
+    """For each pair: a's cases, those where b directly follows every a, and those where also every b directly follows an a (the chain templates)."""
+    step = log.select("case_id", F.col("activity").alias("a"), F.lead("activity").over(case_order()).alias("b"))
+    d = step.where("a <> b").groupBy("case_id", "a", "b").agg(F.count("*").alias("d"))
+    t = lambda c: F.count_if(F.expr(c)).alias
+    return _pairs(log).join(d, ["case_id", "a", "b"], "left").groupBy("a", "b").agg(F.count("*").alias("cases"), t("d = na")("directly_follows"), t("d = na and d = nb")("chain"))
+
+
+def occurrences(log: DataFrame) -> DataFrame:
+    """(activity, n, cases): in how many cases an activity occurs n times, 0 included; n is below the longest case's length."""
+    per = log.groupBy("case_id", "activity").agg(F.count("*").alias("n")).groupBy("activity", "n").agg(F.count("*").alias("cases"))
+    total = log.agg(F.count_distinct("case_id").alias("total"))
+    none = per.groupBy("activity").agg(F.sum("cases").alias("c")).join(F.broadcast(total)).select("activity", F.lit(0).cast("long").alias("n"), (F.col("total") - F.col("c")).alias("cases"))
+    return per.unionByName(none.where("cases > 0"))
+
+
+#: What a pair of a case must satisfy, by the columns of `_pairs`.
+RULES = {"equivalence": "na = nb", "always_after": "la < lb", "always_before": "fb < fa", "never_together": "nb is null"}
+
+
+def rules(log: DataFrame, share: float = 1.0) -> DataFrame:
+    """(a, b, rule): the skeleton relations that hold in at least a share of a's cases."""
+    held = F.array(*(F.struct(F.lit(r).alias("rule"), F.count_if(F.expr(e)).alias("held")) for r, e in RULES.items()))
+    by = _pairs(log).groupBy("a", "b").agg(F.count("*").alias("cases"), held.alias("x"))
+    return by.select("a", "b", "cases", F.explode("x").alias("x")).where(F.col("x.held") >= share * F.col("cases")).select("a", "b", "x.rule")
+
+
+def rule_violations(log: DataFrame, model: DataFrame) -> DataFrame:
+    """(case_id, checked, violated): a model's rules that each case meets with their first activity, and those it breaks.
+
+    The model, as `rules` gives it, has at most four rows for each pair of activities; an activity of the log that no rule
+    names is not checked, and one that is named but missing from the log is known to be missing in all its cases.
+    """
+    one = model.groupBy("a", "b").agg(F.collect_set("rule").alias("rules"))
+    p = _per_case(log)
+    a = p.select("case_id", F.col("activity").alias("a"), F.col("first").alias("fa"), F.col("last").alias("la"), F.col("n").alias("na")).join(one, "a")
+    b = p.select("case_id", F.col("activity").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"), F.col("n").alias("nb"))
+    broken = sum((F.when(F.array_contains("rules", r) & ~F.coalesce(F.expr(e), F.lit(False)), 1).otherwise(0) for r, e in RULES.items()), F.lit(0))
+    by = a.join(b, ["case_id", "b"], "left").groupBy("case_id").agg(F.sum(F.size("rules")).alias("checked"), F.sum(broken).alias("violated"))
+    return log.select("case_id").distinct().join(by, "case_id", "left").na.fill(0, ["checked", "violated"])

@@ -75,3 +75,28 @@ def concurrent(log: DataFrame) -> DataFrame:
     rows = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "event_idx", "activity"))).alias("e"))
     later = rows.select("e", F.posexplode("e").alias("i", "x")).select("x", F.explode(F.filter(F.slice("e", F.col("i") + 2, F.size("e")), lambda y: y["start_us"] <= F.col("x.end_us"))).alias("y"))
     return later.groupBy(F.least("x.activity", "y.activity").alias("a"), F.greatest("x.activity", "y.activity").alias("b")).agg(F.count("*").alias("n"))
+
+
+def batches(log: DataFrame, distance_s: int = 900, least: int = 2) -> DataFrame:
+    """(activity, resource, start_us, end_us, size, kind): intervals of one activity and resource that overlap or lie within a distance.
+
+    A task sees one day of an activity and resource; what earlier days leave open is carried by a row for each day.
+    Intervals of a case with equal times count once; events without a resource are in no batch.
+    """
+    key, order = ["activity", "resource"], F.struct("us", "end_us", "case_id")
+    e = log.where("resource is not null").select(*key, "case_id", "us", "end_us").distinct().withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    before = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key, "day").orderBy("us", "end_us", "case_id")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    days = e.groupBy(*key, "day").agg(F.max("end_us").alias("m"), F.max(order).alias("l"))
+    days = days.select(*key, "day", F.max("m").over(before).alias("m"), F.max("l").over(before).getField("end_us").alias("l"))
+    e = e.join(days, [*key, "day"]).withColumn("open", F.greatest("m", F.max("end_us").over(earlier))).withColumn("prev", F.coalesce(F.lag("end_us").over(inside), "l"))
+    e = e.withColumn("begun", F.when(F.col("open").isNull() | (F.col("us") - F.col("open") > distance_s * 1_000_000), F.col("us")))
+    marks = e.groupBy(*key, "day").agg(F.max("begun").alias("g"))
+    marks = marks.select(*key, "day", F.max("g").over(before).alias("g"))
+    e = e.join(marks, [*key, "day"]).withColumn("island", F.coalesce(F.max("begun").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "g"))
+    loose = F.count_if(F.col("begun").isNull() & (F.col("prev") != F.col("us"))).alias("loose")
+    by = e.groupBy(*key, "island").agg(F.count("*").alias("size"), F.max("us").alias("s"), F.min("end_us").alias("f"), F.max("end_us").alias("end_us"), loose).where(F.col("size") >= least)
+    same_start, same_end = F.col("island") == F.col("s"), F.col("f") == F.col("end_us")
+    kind = F.when(same_start & same_end, "simultaneous").when(same_start, "same start").when(same_end, "same end").when(F.col("loose") == 0, "sequential").otherwise("concurrent")
+    return by.select(*key, F.col("island").alias("start_us"), "end_us", "size", kind.alias("kind"))

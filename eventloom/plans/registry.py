@@ -141,12 +141,12 @@ add("declare_alternate", on_log(relations.declare_alternate), PER + "select a, b
 
 
 def queries() -> dict:
-    from . import more  # noqa: F401  registers its queries
+    from . import cases, more  # noqa: F401  they register their queries
 
     return {k: run for k, (run, _) in WITH.items()}
 
 
 def oracle_sql() -> dict:
-    from . import more  # noqa: F401
+    from . import cases, more  # noqa: F401
 
     return {k: sql for k, (_, sql) in WITH.items() if sql}
