@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import columns, dfg, filters, relations, timing, trees
+from ..operators import columns, dfg, filters, nets, relations, timing, trees
 from .more import ORDERS, SIZE, on_orders, sized
 from .registry import IVL, LOG, PER, add, on_intervals, on_log
 
@@ -27,12 +27,18 @@ add("chain_relations", on_orders(relations.chains), OPR + STEPS + "select pr.a,
 add("activity_occurrences", on_orders(relations.occurrences), ORDERS + ", k as (select activity, coalesce(n, 0) n from (select distinct activity from log) cross join cases left join (select case_id, activity, count(*) n from log group by all) using (case_id, activity)) select activity, n, count(*) cases from k group by all")
 HELD = " union all ".join(f"select {{0}}a, b, '{r}' as rule, {e} ok from pr" for r, e in relations.RULES.items())
 RULE = f"ru as (select a, b, rule from ({HELD.format('')}) group by all having count(*) filter (ok) >= {{}} * count(*))"
-add("skeleton_rules", on_orders(lambda l: relations.rules(l, 0.5)), OPR + f", {RULE.format(0.5)} select * from ru")
-add("skeleton_violations", on_orders(lambda l: relations.rule_violations(l, relations.rules(l, 0.5))), OPR + f", {RULE.format(0.5)}, ck as (select case_id, count(*) checked, count(*) filter (ok is not true) violated from ({HELD.format('case_id, ')}) join ru using (a, b, rule) group by 1) select case_id, coalesce(checked, 0) checked, coalesce(violated, 0) violated from cases left join ck using (case_id)")
+add("skeleton_rules", on_orders(lambda l: relations.rules(l, 0.25)), OPR + f", {RULE.format(0.25)} select * from ru")
+add("skeleton_violations", on_orders(lambda l: relations.rule_violations(l, relations.rules(l, 0.25))), OPR + f", {RULE.format(0.25)}, ck as (select case_id, count(*) checked, count(*) filter (ok is not true) violated from ({HELD.format('case_id, ')}) join ru using (a, b, rule) group by 1) select case_id, coalesce(checked, 0) checked, coalesce(violated, 0) violated from cases left join ck using (case_id)")
 # time
 B = "partition by activity, resource order by a, z, case_id"
 add("batches", on_intervals(lambda l: timing.batches(l, 3600)), IVL + f", d as (select distinct activity, resource, case_id, a, z from ivl where resource is not null), o as (select *, lag(z) over ({B}) prev, max(z) over ({B} rows between unbounded preceding and 1 preceding) m from d), g as (select *, m is null or a - m > 3600000000 begun, count(*) filter (m is null or a - m > 3600000000) over ({B}) k from o), c as (select activity, resource, k, count(*) size, min(a) s0, max(a) s1, min(z) e0, max(z) e1, count(*) filter (not begun and prev <> a) loose from g group by all having count(*) >= 2) select activity, resource, s0 start_us, e1 end_us, size, case when s0 = s1 and e0 = e1 then 'simultaneous' when s0 = s1 then 'same start' when e0 = e1 then 'same end' when loose = 0 then 'sequential' else 'concurrent' end kind from c")
 # models
+SHIPPED = "->( 'place', *( X( 'ship A', 'ship N', 'ship R' ), tau ) )"
+# the order is placed once or never: either the shipments before it are moves of the log alone, or it is, and is placed anew
+COST = ", p as (select case_id, max(pos) filter (activity = 'place') placed, count(*) n, count(*) filter (activity <> 'place') ships from seq group by 1), k as (select case_id, n, cast(case when ships = 0 then 1 when placed is null then 1 else least(2, placed - 1 + case when ships = placed - 1 then 1 else 0 end) end as bigint) as cost from p) "
+ALIGNED = lambda l: nets.alignments(l, nets.from_tree(trees.parse(SHIPPED)))
+add("alignments", on_orders(lambda l: ALIGNED(l).drop("alignment")), ORDERS + COST + "select case_id, cost, round(1 - cost / (n + 2), 6) fitness from k")
+add("alignment_fitness", on_orders(lambda l: nets.alignment_fitness(ALIGNED(l))), ORDERS + COST + "select count(*) cases, round(avg(case when cost = 0 then 1.0 else 0.0 end), 6) share_fit, round(avg(round(1 - cost / (n + 2), 6)), 4) mean_fitness from k")
 PLAYED = "->( 'place', X( +( 'pick', 'bill' ), 'cancel' ), *( 'ship', 'return' ) )"
 add("inductive_tree", on_orders(trees.inductive_tree), None)
 add("inductive_tree_noise", on_orders(lambda l: trees.inductive_tree(l, 0.5)), None)

@@ -38,3 +38,48 @@ def from_strings(spark: SparkSession, lines: list[str], sep: str = ",") -> DataF
     t = spark.createDataFrame(list(enumerate(lines)), "case_id long, line string")
     e = t.select(F.col("case_id").cast("string").alias("case_id"), F.posexplode(F.split("line", f"\\Q{sep}\\E")).alias("event_idx", "activity"))
     return e.select("case_id", "activity", (F.col("event_idx").cast("long") * 1_000_000).alias("us"), F.col("event_idx").cast("long").alias("event_idx"))
+
+
+def _xes_lines(kinds: dict[str, str]):
+    """Lines of one XES file from a partition's events, which are sorted by case and time."""
+    from datetime import datetime, timedelta
+    from xml.sax.saxutils import quoteattr
+
+    start = datetime(1970, 1, 1)
+    line = lambda kind, key, value: f"<{kind} key={quoteattr(key)} value={quoteattr(value)}/>"
+
+    def lines(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0" xmlns="http://www.xes-standard.org/">']})
+        case = None
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False, name=None):
+                key, activity, us, *others = row
+                if key != case:
+                    out += [*(["</trace>"] if case is not None else []), "<trace>" + line("string", "concept:name", key)]
+                    case = key
+                when = (start + timedelta(microseconds=us)).isoformat(timespec="microseconds") + "+00:00"
+                more = [line(kind, name, (str(v).lower() if kind == "boolean" else str(v))) for (name, kind), v in zip(kinds.items(), others) if v is not None]
+                out.append("<event>" + line("string", "concept:name", activity) + line("date", "time:timestamp", when) + "".join(more) + "</event>")
+            yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": [*(["</trace>"] if case is not None else []), "</log>"]})
+
+    return lines
+
+
+def write_xes(log: DataFrame, path: str) -> None:
+    """A folder of XES files, each of whole traces; a task streams its cases and holds a batch of events at a time.
+
+    Other columns of plain types become attributes (`resource` is org:resource), without those that are null or NaN.
+    Line breaks in values are written as references, so that a line of the file stays a line.
+    """
+    types = {"string": "string", "bigint": "int", "int": "int", "double": "float", "float": "float", "boolean": "boolean"}
+    names = [c for c, t in log.dtypes if t in types and c not in ("case_id", "activity", "us", "event_idx")]
+    kinds = {"org:resource" if c == "resource" else c: types[dict(log.dtypes)[c]] for c in names}
+    q = lambda c: F.col(f"`{c}`")
+    # as strings, so that a null makes no float of a long
+    flat = log.select(F.col("case_id").cast("string").alias("case_id"), "activity", "us", *(F.when(~F.isnan(q(c)), q(c)).cast("string").alias(c) if kinds.get(c) == "float" else q(c).cast("string") for c in names), F.col("event_idx").alias("_i"))
+    rows = flat.repartition("case_id").sortWithinPartitions("case_id", "us", "_i").drop("_i")
+    rows.mapInPandas(_xes_lines(kinds), "value string").write.mode("overwrite").option("compression", "none").text(path)
