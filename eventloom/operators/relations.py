@@ -82,7 +82,7 @@ def prefix_states(log: DataFrame, k: int = 2) -> DataFrame:
 def features(log: DataFrame) -> DataFrame:
     """Case features: a count for each activity (the alphabet is the pivot's fixed list), events, duration, mean cost."""
     acts = [r[0] for r in log.select("activity").distinct().orderBy("activity").collect()]
-    return log.groupBy("case_id").agg(*(F.count_if(F.col("activity") == a).alias(f"n_{a}") for a in acts), F.count("*").alias("n_events"), F.round((F.max("us") - F.min("us")) / 1e6, 4).alias("duration_s"), F.round(F.avg("cost"), 4).alias("mean_cost"))
+    return log.groupBy("case_id").agg(*(F.count_if(F.col("activity") == a).alias(f"n_{a}") for a in acts), F.count("*").alias("n_events"), F.round((F.max("us") - F.min("us")) / 1e6, 4).alias("duration_s"), F.round(F.avg("cost"), 6).alias("mean_cost"))
 
 
 def declare_unary(log: DataFrame) -> DataFrame:
@@ -140,3 +140,10 @@ def rule_violations(log: DataFrame, model: DataFrame) -> DataFrame:
     broken = sum((F.when(F.array_contains("rules", r) & ~F.coalesce(F.expr(e), F.lit(False)), 1).otherwise(0) for r, e in RULES.items()), F.lit(0))
     by = a.join(b, ["case_id", "b"], "left").groupBy("case_id").agg(F.sum(F.size("rules")).alias("checked"), F.sum(broken).alias("violated"))
     return log.select("case_id").distinct().join(by, "case_id", "left").na.fill(0, ["checked", "violated"])
+
+
+def declare_negative(log: DataFrame) -> DataFrame:
+    """For each pair, those of a's cases that the negative templates allow: no b, no succession, no chain succession."""
+    c = chains(log).select("a", "b", (F.col("cases") - F.col("chain")).alias("nonchainsuccession"))
+    t = lambda e: F.count_if(~F.coalesce(F.expr(e), F.lit(False))).alias
+    return _pairs(log).groupBy("a", "b").agg(t("nb is not null")("noncoexistence"), t("la < lb and fa < fb")("nonsuccession")).join(c, ["a", "b"])

@@ -24,6 +24,8 @@ add("case_lengths_between", sized(lambda l: filters.case_size(l, 2, 3)), SIZE.fo
 # relations
 STEPS = ", st as (select case_id, activity a, nxt b, count(*) d from seq where nxt <> activity group by all) "
 add("chain_relations", on_orders(relations.chains), OPR + STEPS + "select pr.a, pr.b, count(*) cases, count(*) filter (d = na) directly_follows, count(*) filter (d = na and d = nb) chain from pr left join st on st.case_id = pr.case_id and st.a = pr.a and st.b = pr.b group by all")
+add("declare_negative", on_orders(relations.declare_negative), OPR + STEPS + "select pr.a, pr.b, count(*) filter (nb is null) noncoexistence, count(*) filter ((la < lb and fa < fb) is not true) nonsuccession, count(*) filter ((d = na and d = nb) is not true) nonchainsuccession from pr left join st on st.case_id = pr.case_id and st.a = pr.a and st.b = pr.b group by all")
+add("case_features", on_orders(relations.features), ORDERS + "select case_id, count(*) filter (activity = 'place') n_place, count(*) filter (activity = 'ship A') \"n_ship A\", count(*) filter (activity = 'ship N') \"n_ship N\", count(*) filter (activity = 'ship R') \"n_ship R\", count(*) n_events, round((max(us) - min(us)) / 1e6, 4) duration_s, round(avg(cost), 6) mean_cost from log group by 1")
 add("activity_occurrences", on_orders(relations.occurrences), ORDERS + ", k as (select activity, coalesce(n, 0) n from (select distinct activity from log) cross join cases left join (select case_id, activity, count(*) n from log group by all) using (case_id, activity)) select activity, n, count(*) cases from k group by all")
 HELD = " union all ".join(f"select {{0}}a, b, '{r}' as rule, {e} ok from pr" for r, e in relations.RULES.items())
 RULE = f"ru as (select a, b, rule from ({HELD.format('')}) group by all having count(*) filter (ok) >= {{}} * count(*))"
