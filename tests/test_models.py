@@ -1,6 +1,8 @@
 """Relations, nets and replay against literal logs."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -35,6 +37,26 @@ def test_temporal_deviations(spark, make):
     assert [(r.a, r.b, r.deviations) for r in got] == [("a", "b", 3)]
 
 
+def test_temporal_deviations_makes_no_pairs(spark, make):
+    """Near and far gaps of any zeta, ties and negative means as by brute force, without a row for each pair."""
+    rng = random.Random(5)
+    rows = [(c, rng.choice("abc"), rng.randrange(400) * 250_000, rng.randrange(9), "r", 1.0) for c in range(4) for _ in range(80)]
+    log = spark.createDataFrame(rows, make("a").schema)
+    means = [("a", "b", 40.0, 9.25), ("a", "a", 30.25, 0.0), ("b", "c", -1.0, 0.5), ("c", "b", 0.0, 0.0), ("c", "c", 20.0, 1000.0)]
+    for zeta in (0.0, 1.0, 2.0):
+        want = Counter()
+        for c in range(4):
+            case = sorted((us, i, a) for k, a, us, i, *_ in rows if k == c)
+            for a, b, mean, std in means:
+                want[a, b] += sum(abs((y[0] - x[0]) / 1e6 - mean) > zeta * std for n, x in enumerate(case) for y in case[n + 1 :] if (x[2], y[2]) == (a, b))
+        got = relations.temporal_deviations(log, spark.createDataFrame(means, "a string, b string, mean_s double, std_s double"), zeta)
+        assert {(r.a, r.b): r.deviations for r in got.collect()} == {k: n for k, n in want.items() if n}
+    one = spark.range(20_000).selectExpr("0L as case_id", "'a' as activity", "id * 1000000 as us", "id as event_idx")  # 200 million pairs
+    got = relations.temporal_deviations(one, spark.createDataFrame([("a", "a", 10_000.0, 1000.0)], "a string, b string, mean_s double, std_s double"))
+    assert got.collect()[0].deviations == sum(20_000 - g for g in range(1, 20_000) if abs(g - 10_000) > 2000)
+    assert "posexplode" not in got._jdf.queryExecution().toString()  # no row for each pair
+
+
 def test_causal_measure_is_given_both_ways_and_loops_have_none(make):
     got = {k: r["dependency"] for k, r in table(dfg.dependency(make("ab", "ab", "ba", "aa", "ac")), "source", "target").items()}
     assert got == {("a", "b"): 0.25, ("b", "a"): -0.25, ("a", "a"): 0.0, ("a", "c"): 0.5, ("c", "a"): -0.5}
