@@ -1,15 +1,16 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles, tested exactly.
+"""Near copies by long SimHashes of word shingles, a byte-position inverted index with count filtering, and exact similarity.
 
-Candidates come from a long fingerprint: 256 smallest hashes (MinHash); of the first 128, each four that
-stand together are one of 32 positions. Two texts of similarity s share a position with probability s^4, so
-at 0.8 all 32 differ in one pair of 20 million. Documents that share a position are a posting list; of
-those in a list, pairs that are near enough in size and whose sketches, four bits of 256 smallest hashes,
-agree in 177 places or more are candidates (at 0.8, one pair of three million agrees in fewer).
+A fingerprint is 128 positional bytes: the SimHash of a text's set of shingles in 1024 bits. Two sets of similarity 0.8
+differ in 15 of 100 bits, whatever their sizes, so they agree in a positional byte with probability 0.27 and
+in two with 0.07; the radius of 232 bits lies over six deviations beyond. A posting list holds the fingerprints that
+agree in a set of positions: two bytes, and some bits of a third as the corpus grows, so that lists stay short.
+Pairs of a list that are near enough in size and in 256 bits are tallied over all lists; those that share two lists
+are verified by all their bits, and then by the Jaccard similarity of their whole sets.
 
 A list of more than `long_list` sets is not paired: all of it is tested against one of its members (another
-for each position), and only pairs that are not yet joined are looked at further: in pairs if few stand
-outside the list's largest group, else by a second and a third shared position. Every candidate is tested
-on whole sets. Documents of equal sets meet once, as one set.
+for each list), and only pairs that are not yet joined are looked at further: in pairs if few stand
+outside the list's largest group, else by one and two more positional bytes. Documents of equal sets meet once,
+as one set.
 """
 
 from __future__ import annotations
@@ -21,17 +22,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import textops as T
 from .common import documents, join_hot, stored, without
 from .graph import components
-
-POSITIONS, HASHES_EACH = 32, 4
-#: Places of 256 in which the sketches of a candidate pair must agree, and the longs that hold a sketch.
-LEAST_ALIKE, SKETCH = 177, 16
-#: Positions after a long list's own that it is dealt on by.
-NEXT = 8
-MARK = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+from .simhash import majority
+
+#: Positional bytes of a fingerprint, the longs that hold them, and those of them that postings carry.
+POSITIONS, LONGS, CARRIED = 128, 16, 4
+#: Differing bits of a candidate pair at most: of all, and of those carried; lists that it must share.
+RADIUS, RADIUS_CARRIED, LEAST_SHARED = 232, 62, 2
+#: Steps between the positions of a list; the more bits lists agree in, the more of them are used.
+STEPS = (37, 11, 53, 29)
+#: Fingerprints for which two bytes do, and positions after a long list's own that it is dealt on by.
+TWO_BYTES, NEXT = 1 << 18, 8
+GISTS = [f"g{i}" for i in range(CARRIED)]
+MARK = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.list_(pa.int64()))])
+POSTING = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), *((g, pa.int64()) for g in GISTS)])
 SET = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 SLICE_BYTES = 1 << 20
 _random = np.random.default_rng(17)
-XORS, FACTORS = (_random.integers(0, 2**64, 16 * SKETCH, np.uint64) for _ in range(2))
+XORS, FACTORS = (_random.integers(0, 2**64, LONGS, np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
 
 
@@ -51,19 +58,42 @@ def _sets(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return h, n, node
 
 
-def positions(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents x positions: a hash of the four smallest hashes of each position; and sketches: four bits of every smallest hash. Every document must have a shingle."""
-    at = np.cumsum(per) - per
-    out, sketch = np.zeros((len(per), POSITIONS), np.uint64), np.zeros((len(per), SKETCH), np.uint64)
+def long_simhash(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Documents x LONGS: bits set in over half of the hashes of each document's shingles, in 64 ways to hash for each long."""
+    out = np.zeros((len(per), LONGS), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(16 * SKETCH):
+        for k in range(LONGS):
             x = (h ^ XORS[k]) * FACTORS[k]
             x ^= x >> np.uint64(32)
-            least = np.minimum.reduceat(x * FACTORS[k - 1], at)
-            if k < POSITIONS * HASHES_EACH:
-                out[:, k // HASHES_EACH] = T.mix(out[:, k // HASHES_EACH], least)
-            sketch[:, k // 16] |= (T.mix(least, least) & np.uint64(15)) << np.uint64(4 * (k % 16))
-    return out, sketch
+            x *= FACTORS[k - 1]
+            out[:, k] = majority(x ^ (x >> np.uint64(29)), per)
+    return out
+
+
+def list_keys(fps: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprints x lists: the number of the list's set of positions, then the 16 bits, and `bits` more, that its members agree in."""
+    byte, at, out = np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1).astype(np.int64), np.arange(POSITIONS), []
+    for i, step in enumerate(STEPS[: 1 + -(-bits // 4)]):
+        first, second, third = (byte[:, (at + j * step) % POSITIONS] for j in range(3))
+        out.append((i * POSITIONS + at) << 24 | (third & ((1 << bits) - 1)) << 16 | second << 8 | first)
+    return np.concatenate(out, axis=1)
+
+
+def postings(nodes: DataFrame, n: int) -> DataFrame:
+    """(key, node, size, g0, …): each of `n` fingerprints in the lists of all sets of positions. Lists have some four members, of texts without copies."""
+    bits = min(8, max(0, (n - 1) // TWO_BYTES).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                fps = b.column(2).flatten().to_numpy().reshape(-1, LONGS)
+                keys = list_keys(fps, bits)
+                each = lambda v: pa.array(np.repeat(v, keys.shape[1]))
+                gists = [each(fps[:, i]) for i in range(CARRIED)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each(b.column(0).to_numpy()), each(b.column(1).to_numpy().astype(np.int32)), *gists], schema=POSTING)
+
+    return nodes.where("size > 0").select("node", "size", "fp").mapInArrow(run, "key long, node long, size int, " + ", ".join(f"{g} long" for g in GISTS))
 
 
 def _lists(has: np.ndarray, rows: np.ndarray) -> pa.Array:
@@ -76,12 +106,12 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in T.slices(batches, limit=SLICE_BYTES):
             h, _, per = T.Words(*T.utf8(b.column(1)), lower=True).shingles(width)
-            _, n, node = _sets(h, per)
-            has = per > 0
-            marks, sketch = positions(h, per[has]) if has.any() else (np.zeros((0, k), np.uint64) for k in (POSITIONS, SKETCH))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), pa.array(n), _lists(has, sketch), _lists(has, marks)], schema=MARK)
+            h, n, node = _sets(h, per)
+            has = n > 0
+            fps = long_simhash(h, n[has]) if has.any() else np.zeros((0, LONGS), np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), pa.array(n), _lists(has, fps)], schema=MARK)
 
-    return documents(docs).mapInArrow(run, "doc_id long, node long, size long, sketch array<long>, marks array<long>")
+    return documents(docs).mapInArrow(run, "doc_id long, node long, size long, fp array<long>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -106,66 +136,71 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one("b"), "b").join(one("a"), "a").where(both * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9).select("a", "b")
 
 
-def _pairs(x: DataFrame, y: DataFrame, on: list[str], where: Column, similarity: float) -> DataFrame:
-    """Pairs of a list whose sizes and sketches allow the similarity; the join tests this, so others are never made."""
-    own = ["node", "size", "sketch", "root"]
-    got = x.select(*on, *[F.col(c).alias(f"x_{c}") for c in own if c in x.columns])
-    other = y.select(*on, *[F.col(c).alias(f"y_{c}") for c in own if c in y.columns])
+def _pairs(x: DataFrame, y: DataFrame, where: Column, similarity: float) -> DataFrame:
+    """Pairs of a list, once for each list, whose sizes and carried bits allow the similarity; the join tests this, so others are never made."""
+    own = ["node", "size", "root", *GISTS]
+    got = x.select("key", *[F.col(c).alias(f"x_{c}") for c in own if c in x.columns]).hint("merge")
+    other = y.select("key", *[F.col(c).alias(f"y_{c}") for c in own if c in y.columns])
     near = F.least("x_size", "y_size") >= similarity * F.greatest("x_size", "y_size") - 1e-9
-
-    def unlike(a, b):  # places of four bits that differ
-        x = a.bitwiseXOR(b)
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111_1111_1111_1111)))
-
-    differ = F.aggregate(F.zip_with("x_sketch", "y_sketch", unlike), F.lit(0), lambda n, e: n + e)
-    return got.join(other, on).where(where & near & (differ <= 16 * SKETCH - LEAST_ALIKE)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-
-
-def links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float, long_list: int = 64) -> DataFrame:
-    """Links (a, b) between sets of at least this similarity; any two such sets are linked, or joined by links."""
-    on = ["k", "key"]
-    pairs = lambda x, y, where: _pairs(x, y, on, where, similarity)
-    several = lambda t: t.join(t.groupBy(*on).agg(F.count("*").alias("m")).where("m > 1"), on)
-    lists = nodes.select("node", "size", "sketch", F.posexplode("marks").alias("k", "key"))
-    lists = stored(several(lists), "posting-lists")
-    sets = stored(_shingle_sets(docs, lists.select("node").distinct().join(nodes.select("node", "least"), "node"), width), "shingle-sets")
-    short = lists.where(F.col("m") <= long_list)
-    found = stored(similar(pairs(short, short, F.col("x_node") < F.col("y_node")), sets, similarity), "similar")
+    differ = sum((F.bit_count(F.col(f"x_{g}").bitwiseXOR(F.col(f"y_{g}"))) for g in GISTS), F.lit(0))
+    return got.join(other, "key").where(where & near & (differ <= RADIUS_CARRIED)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+
+def links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float, long_list: int = 256) -> DataFrame:
+    """Links (a, b) between sets of at least this similarity; what the lists bring together is linked, or joined by links."""
+    pairs = lambda x, y, where: _pairs(x, y, where, similarity)
+    fps = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Candidate pairs by all their bits, then by their whole sets."""
+        differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, e: n + e)
+        near = stored(pairs.join(fps("b"), "b").join(fps("a"), "a").where(differ <= RADIUS).select("a", "b"), "candidates")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
+        return similar(near, stored(_shingle_sets(docs, wanted, width), "shingle-sets"), similarity)
+
+    lists = postings(nodes, nodes.count())
+    long = stored(lists.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > long_list), "long-lists")
+    heavy = stored(lists.join(long, "key").withColumn("k", F.shiftright("key", 24) % POSITIONS), "long-lists")
+    short = lists.join(long, "key", "left_anti")
+    tally = pairs(short, short, F.col("x_node") < F.col("y_node")).groupBy("a", "b").agg(F.count("*").alias("tally"))
+    if not heavy.isEmpty():  # a pair may share long lists instead
+        for c in ("a", "b"):
+            tally = tally.join(heavy.groupBy(F.col("node").alias(c)).agg(F.count("*").alias(f"long_{c}")), c, "left").na.fill(0, f"long_{c}")
+        tally = tally.withColumn("tally", F.col("tally") + F.least("long_a", "long_b"))
+    found = stored(verified(tally.where(F.col("tally") >= LEAST_SHARED).select("a", "b")), "similar")
     for level in range(3):
-        heavy = lists.where(F.col("m") > long_list)
         if heavy.isEmpty():
             break
-        lead = heavy.groupBy(*on).agg(F.min_by(F.struct("node", "size", "sketch"), F.xxhash64("node", "k")).alias("l")).select(*on, "l.*")
-        star = pairs(lead, heavy, F.col("x_node") != F.col("y_node"))
-        found = stored(found.unionByName(similar(star, sets, similarity)), "similar")
-        roots = components(found)
-        heavy = heavy.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        group = heavy.groupBy(*on, "root").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy(*on).agg(F.max_by("root", "c").alias("most"), (F.first("m") - F.max("c")).alias("outside")).where("outside > 0")
-        heavy = stored(heavy.join(group, on), "long-lists")
+        lead = heavy.groupBy("key").agg(F.min_by(F.struct("node", "size", *GISTS), F.xxhash64("node", "key")).alias("l")).select("key", "l.*")
+        star = pairs(lead, heavy, F.col("x_node") != F.col("y_node")).distinct()
+        found = stored(found.unionByName(verified(star)), "similar")
+        heavy = heavy.drop("root").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        group = heavy.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy("key").agg(F.max_by("root", "c").alias("most"), (F.first("m") - F.max("c")).alias("outside")).where("outside > 0")
+        heavy = stored(heavy.join(group, "key"), "long-lists")
         apart = F.col("x_root") != F.col("y_root")
         few = heavy if level == 2 else heavy.where(F.col("outside") <= long_list)
-        found = stored(found.unionByName(similar(pairs(few.where("root <> most"), few, apart), sets, similarity)), "similar")
+        found = stored(found.unionByName(verified(pairs(few.where("root <> most"), few, apart).distinct())), "similar")
         many = heavy.where(F.col("outside") > long_list)
         if level == 2 or many.isEmpty():
             break
-        dealt = many.select("node", "size", "sketch", "root", *on).join(nodes.select("node", "marks"), "node")
-        dealt = dealt.select("node", "size", "sketch", "root", F.posexplode("marks").alias("p", "mark"), *on)
-        after = F.pmod(F.col("p") - F.col("k"), F.lit(POSITIONS))  # k ends in the last position
-        dealt = dealt.where(after.between(1, NEXT)).select("node", "size", "sketch", "root", (F.col("k") * POSITIONS + F.col("p")).cast("int").alias("k"), F.xxhash64("key", "mark").alias("key"))
-        lists = stored(several(dealt), "posting-lists")
-        short = lists.where(F.col("m") <= long_list)
-        found = stored(found.unionByName(similar(pairs(short, short, (F.col("x_node") < F.col("y_node")) & apart), sets, similarity)), "similar")
+        step = F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step")
+        dealt = many.select("node", "size", "root", *GISTS, "key", "k", step).withColumn("k", ((F.col("k") + 5 * F.col("step")) % POSITIONS).cast("int"))
+        byte = F.expr("shiftrightunsigned(element_at(fp, cast(k div 8 as int) + 1), k % 8 * 8) & 255")
+        dealt = dealt.join(nodes.select("node", "fp"), "node").withColumn("byte", byte)
+        dealt = dealt.select("node", "size", "root", *GISTS, "k", F.xxhash64("key", "k", "byte").alias("key"))
+        dealt = stored(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "posting-lists")
+        short, heavy = dealt.where(F.col("m") <= long_list), dealt.where(F.col("m") > long_list)
+        found = stored(found.unionByName(verified(pairs(short, short, (F.col("x_node") < F.col("y_node")) & apart).distinct())), "similar")
     return found
 
 
-def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, long_list: int = 64) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, long_list: int = 256) -> DataFrame:
     """(doc_id, component_id), one row per row of `docs`: the smallest doc_id that the document reaches over similar pairs.
 
     Null and empty texts have equal (empty) sets. A null doc_id counts for no component_id.
     """
     marked = stored(_marked(docs, width), "shingle-marks")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"), F.count("*").alias("n")), "shingle-nodes")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.count("*").alias("n")), "shingle-nodes")
     roots = components(links(nodes, docs, width, similarity, long_list))
     rooted = nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -278,3 +278,24 @@ def test_components_of_many_tasks(spark, monkeypatch):
         monkeypatch.setattr(graph, "LINKS_A_TASK", bound)
         got = {x.node: x.root for x in graph.components(df).collect()}
         assert all(got.get(n, n) == find(n) for n in root)
+
+
+def test_long_simhash_lists_and_radius_find_similarity_of_0_8():
+    """Sets of similarity 0.8 lie within the radius, and share two lists of two positional bytes; others do neither."""
+    r = np.random.default_rng(8)
+    for size in (20, 90, 900):
+        both, own = size * 8 // 10, size // 10
+        made = r.integers(0, 2**64, (300, both + 2 * own), np.uint64)
+        x, y = made[:, : both + own], np.concatenate([made[:, :both], made[:, both + own :]], axis=1)
+        fx, fy = (shingles.long_simhash(np.ascontiguousarray(s).ravel(), np.full(300, both + own)) for s in (x, y))
+        differ = np.bitwise_count(fx ^ fy)
+        assert differ.sum(1).max() <= shingles.RADIUS and (differ[:, : shingles.CARRIED].sum(1) > shingles.RADIUS_CARRIED).sum() <= 1
+        assert np.bitwise_count(fx ^ np.roll(fy, 1, 0)).sum(1).min() > shingles.RADIUS
+        for bits in (0, 4):
+            kx, ky = (shingles.list_keys(f.view(np.int64), bits) for f in (fx, fy))
+            shared = (kx == ky).sum(1)
+            assert (shared < shingles.LEAST_SHARED).sum() <= 2 and shared.mean() > 7
+            assert ((kx == np.roll(ky, 1, 0)).sum(1) >= shingles.LEAST_SHARED).sum() <= 1
+    bit = shingles.long_simhash(np.array([7], np.uint64), np.array([1]))  # of one shingle: its hashes
+    three = shingles.long_simhash(np.array([7, 7, 9], np.uint64), np.array([3]))
+    assert (bit == three).all() and bit.shape == (1, 16)
