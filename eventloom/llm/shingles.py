@@ -42,6 +42,8 @@ SET = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 SLICE_BYTES = 1 << 20
 #: Sets of a neighbourhood's chunk, up to MOST_CHUNKS chunks; of a larger neighbourhood's; shingles of either. Members of a long list that meet in a block, twice.
 CHUNK, MOST_CHUNKS, LARGE_CHUNK, CHUNK_SHINGLES, BLOCK = 256, 16, 2048, 1 << 20, 512
+#: Fingerprints that one task posts and counts the lists of.
+NODES_A_TASK = 1 << 13
 #: Bytes of whole lists or blocks that are worked on at once, and pairs held until they are contracted.
 WHOLE_BYTES, HELD_PAIRS = 1 << 22, 1 << 20
 _random = np.random.default_rng(17)
@@ -265,7 +267,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float, long_list: int = 256) -> DataFrame:
     """Links (a, b) between sets of at least this similarity; what the lists bring together is linked, or joined by links."""
     n = nodes.count()
-    lists = postings(nodes, n)
+    lists = postings(nodes.repartition(-(-n // NODES_A_TASK) or 1, "node"), n)
     long = stored(lists.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > long_list), "long-lists")
     heavy = stored(lists.join(long, "key").withColumn("k", F.shiftright("key", 24) % POSITIONS), "long-lists")
     near = stored(neighbours(lists.join(long, "key", "left_anti"), similarity), "near")

@@ -299,3 +299,16 @@ def test_long_simhash_lists_and_radius_find_similarity_of_0_8():
     bit = shingles.long_simhash(np.array([7], np.uint64), np.array([1]))  # of one shingle: its hashes
     three = shingles.long_simhash(np.array([7, 7, 9], np.uint64), np.array([3]))
     assert (bit == three).all() and bit.shape == (1, 16)
+
+
+def test_dense_groups_give_forests_not_pairs():
+    """A list or block of alike sets gives fewer links than members, where pairs were links before."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**64, 100, np.uint64)
+    sets = [np.sort(np.concatenate([base[3:], r.integers(0, 2**64, 3, np.uint64)])) for _ in range(60)]
+    n = np.full(60, 100)
+    fps = shingles.long_simhash(np.concatenate(sets), n)
+    a, b = shingles.joined(fps, n, np.concatenate(sets), np.zeros(60, bool), 0, 0.8)
+    assert len(a) == len(b) == 59
+    x, _ = shingles.near_in_lists(np.zeros(60, np.int64), np.arange(60), n, [fps[:, i] for i in range(shingles.CARRIED)], 0.8)
+    assert len(x) == 59
